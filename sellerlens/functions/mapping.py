@@ -225,8 +225,8 @@ def rewrite_rules(col: Column, rules: Sequence[tuple[str, str]],
     trailing_nl = col.endswith(F.lit("\n"))
     key = F.when(trailing_nl, F.regexp_replace(col, r"\n\z", "")).otherwise(col)
     hit = F.try_element_at(map_literal(lookup), key)
-    return F.when(hit.isNull(), col).otherwise(
-        F.concat(hit, F.when(trailing_nl, F.lit("\n")).otherwise(F.lit(""))))
+    # concat is null when there is no hit, so unmatched values fall through
+    return F.coalesce(F.concat(hit, F.when(trailing_nl, F.lit("\n")).otherwise(F.lit(""))), col)
 
 
 def _java_replacement(repl: str) -> str:

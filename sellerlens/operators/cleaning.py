@@ -41,7 +41,7 @@ def add_sku_category(df: DataFrame, rules=None) -> DataFrame:
 
 def add_created_time(df: DataFrame) -> DataFrame:
     """CL-8, CL-9: ``Created_Timestamp`` (NTZ) and ``Order_Month`` (yyyy-MM)."""
-    df = df.withColumn(N.CREATED_TS, T.created_ts(N.c(N.CREATED_TIME)))
+    df = T.with_created_ts(df, N.CREATED_TIME, N.CREATED_TS)
     return df.withColumn(N.ORDER_MONTH, T.month_key(N.c(N.CREATED_TS)))
 
 

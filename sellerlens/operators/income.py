@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sellerlens import names as N
-from sellerlens.functions.text import settled_date, starts_with_text
+from sellerlens.functions.text import starts_with_text, with_settled_date
 from sellerlens.sources.files import strip_headers
 
 MONEY = T.DecimalType(18, 2)
@@ -98,15 +98,12 @@ def classify_income(df: DataFrame) -> DataFrame:
     df = ids_as_text(strip_headers(df))
     joined = attach_group_stats(df)
     labels = _labels(F.col("n_rid"), F.col("n_pair"), F.col("comp"))
-    out_cols = [
-        settled_date(N.c(N.SETTLED_TIME)).alias(N.SETTLED_TIME) if col == N.SETTLED_TIME
-        else N.c(col) for col in df.columns
-    ]
-    return joined.select(
-        *out_cols,
+    out = joined.select(
+        *[N.c(col) for col in df.columns],
         F.abs(N.c(N.TOTAL_FEES)).alias(N.ABS_FEES),
         *[expr.alias(name) for name, expr in labels.items()],
     )
+    return with_settled_date(out, N.SETTLED_TIME, N.SETTLED_TIME)
 
 
 def _one_label(df: DataFrame, name: str) -> DataFrame:
