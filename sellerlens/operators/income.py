@@ -47,25 +47,41 @@ def adjustment_signal(adj: Column | None = None, typ: Column | None = None) -> C
             | ~typ.cast("string").eqNullSafe(F.lit(N.TYPE_ORDER)))
 
 
+def _norm(col: Column) -> tuple[Column, Column]:
+    """A nullable key as two never-null columns (text or "", is-null flag).
+
+    Equality on both equals null-safe equality on the key, but stays a plain
+    equi-join: Catalyst can then drop the statistics join altogether when a
+    query reads no label (see ``attach_group_stats``)."""
+    return F.coalesce(col, F.lit("")), col.isNull()
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    """One row per distinct (related ID, adjustment ID), keyed by the
+    normalised columns ``_rk, _rn, _ak, _an``, with ``n_pair``, ``n_rid``,
+    ``comp``. Both aggregations combine map-side before their shuffle."""
+    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
+    ak, an = _norm(N.c(N.ADJUSTMENT_ID))
+    pairs = (df.groupBy(rk.alias("_rk"), rn.alias("_rn"), ak.alias("_ak"), an.alias("_an"))
+               .agg(F.count(F.lit(1)).alias("n_pair"),
+                    F.bool_or(adjustment_signal()).alias("_comp_pair")))
+    per_rid = (pairs.groupBy(F.col("_rk").alias("_grk"), F.col("_rn").alias("_grn"))
+                    .agg(F.sum("n_pair").alias("n_rid"), F.bool_or("_comp_pair").alias("comp")))
+    cond = (F.col("_rk") == F.col("_grk")) & (F.col("_rn") == F.col("_grn"))
+    return (pairs.join(per_rid, cond, "left")
+                 .select("_rk", "_rn", "_ak", "_an", "n_pair", "n_rid", "comp"))
+
+
 def group_stats(df: DataFrame) -> DataFrame:
     """IN-2, IN-3, IN-7, IN-8 as one row per distinct (related ID, adjustment ID).
 
-    Columns: the two IDs, ``n_pair``, ``n_rid``, ``comp``. Two aggregations
-    with map-side combining; the per-related-ID totals are summed from the
-    pair counts, so the entries are scanned once.
+    Columns: the two IDs, ``n_pair``, ``n_rid``, ``comp``. The per-related-ID
+    totals are summed from the pair counts, so the entries are scanned once.
     """
-    df = ids_as_text(strip_headers(df))
-    rid, adj = N.c(N.RELATED_ORDER_ID), N.c(N.ADJUSTMENT_ID)
-    pairs = (df.groupBy(rid.alias("_rid"), adj.alias("_adj"))
-               .agg(F.count(F.lit(1)).alias("n_pair"),
-                    F.bool_or(adjustment_signal()).alias("_comp_pair")))
-    per_rid = (pairs.groupBy(F.col("_rid").alias("_grid"))
-                    .agg(F.sum("n_pair").alias("n_rid"),
-                         F.bool_or("_comp_pair").alias("comp")))
-    return (pairs.join(per_rid, pairs["_rid"].eqNullSafe(per_rid["_grid"]))
-                 .select(F.col("_rid").alias(N.RELATED_ORDER_ID),
-                         F.col("_adj").alias(N.ADJUSTMENT_ID),
-                         "n_pair", "n_rid", "comp"))
+    st = _stats(ids_as_text(strip_headers(df)))
+    return st.select(F.when(~F.col("_rn"), F.col("_rk")).alias(N.RELATED_ORDER_ID),
+                     F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID),
+                     "n_pair", "n_rid", "comp")
 
 
 def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
@@ -79,14 +95,18 @@ def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
 
 
 def attach_group_stats(df: DataFrame) -> DataFrame:
-    """The entries (IDs as text) with ``n_pair``, ``n_rid`` and ``comp`` attached."""
+    """The entries (IDs as text) with ``n_pair``, ``n_rid`` and ``comp`` attached.
+
+    A left join on the unique statistics keeps every entry exactly once;
+    when a query reads none of the three columns, Catalyst removes the join
+    and both aggregations from the plan.
+    """
     df = ids_as_text(strip_headers(df))
-    stats = group_stats(df).select(
-        N.c(N.RELATED_ORDER_ID).alias("_s_rid"), N.c(N.ADJUSTMENT_ID).alias("_s_adj"),
-        "n_pair", "n_rid", "comp")
-    cond = (N.c(N.RELATED_ORDER_ID).eqNullSafe(F.col("_s_rid"))
-            & N.c(N.ADJUSTMENT_ID).eqNullSafe(F.col("_s_adj")))
-    return df.join(stats, cond, "inner").drop("_s_rid", "_s_adj")
+    st = _stats(df)
+    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
+    ak, an = _norm(N.c(N.ADJUSTMENT_ID))
+    cond = ((rk == st["_rk"]) & (rn == st["_rn"]) & (ak == st["_ak"]) & (an == st["_an"]))
+    return df.join(st, cond, "left").drop("_rk", "_rn", "_ak", "_an")
 
 
 def classify_income(df: DataFrame) -> DataFrame:
