@@ -182,7 +182,10 @@ def replace_values(col: Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(map_literal(mapping), col), col)
 
 
-_LITERAL_ALTERNATION = re.compile(r"^\^\(?((?:[^()|\\^$.*?{}\[\]]|\\[+.])+(?:\|(?:[^()|\\^$.*?{}\[\]]|\\[+.])+)*)\)?\$$")
+_LITERAL_CHAR = r"(?:[^()|\\^$.*?+{}\[\]]|\\[+.*?()\[\]{}|^$\\-])"
+# ``^(lit|lit|...)$`` or ``^lit$``; a bare ``^a|b$`` is not a full match.
+_LITERAL_ALTERNATION = re.compile(
+    rf"^\^(?:\(({_LITERAL_CHAR}+(?:\|{_LITERAL_CHAR}+)*)\)|({_LITERAL_CHAR}+))\$$")
 
 
 def rules_to_lookup(rules: Sequence[tuple[str, str]]) -> dict[str, str] | None:
@@ -198,7 +201,7 @@ def rules_to_lookup(rules: Sequence[tuple[str, str]]) -> dict[str, str] | None:
         m = _LITERAL_ALTERNATION.match(pattern)
         if m is None or "\\" in repl or "$" in repl:
             return None
-        for alt in m.group(1).split("|"):
+        for alt in (m.group(1) or m.group(2)).split("|"):
             key = re.sub(r"\\(.)", r"\1", alt)
             lookup.setdefault(key, repl)  # first rule wins, as in sequence
         for later_pattern, _ in rules[i + 1:]:
