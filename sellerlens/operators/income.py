@@ -51,37 +51,49 @@ def _norm(col: Column) -> tuple[Column, Column]:
     """A nullable key as two never-null columns (text or "", is-null flag).
 
     Equality on both equals null-safe equality on the key, but stays a plain
-    equi-join: Catalyst can then drop the statistics join altogether when a
-    query reads no label (see ``attach_group_stats``)."""
+    equi-join, which Catalyst can drop when no label is read."""
     return F.coalesce(col, F.lit("")), col.isNull()
 
 
-def _stats(df: DataFrame) -> DataFrame:
-    """One row per distinct (related ID, adjustment ID), keyed by the
-    normalised columns ``_rk, _rn, _ak, _an``, with ``n_pair``, ``n_rid``,
-    ``comp``. Both aggregations combine map-side before their shuffle."""
-    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
+def _id_stats(df: DataFrame) -> DataFrame:
+    """Per related ID (non-null): ``n_rid`` entries and ``comp`` (any adjustment)."""
+    return (df.groupBy(N.c(N.RELATED_ORDER_ID).alias("_rid"))
+              .agg(F.count(F.lit(1)).alias("n_rid"), F.bool_or(adjustment_signal()).alias("comp")))
+
+
+def _pair_stats(df: DataFrame, by_related_id: bool) -> DataFrame:
+    """Per (related ID, adjustment ID): ``n_pair``; keys ``_prid`` (if
+    ``by_related_id``), ``_ak``, ``_an`` (the adjustment ID normalised)."""
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
-    pairs = (df.groupBy(rk.alias("_rk"), rn.alias("_rn"), ak.alias("_ak"), an.alias("_an"))
-               .agg(F.count(F.lit(1)).alias("n_pair"),
-                    F.bool_or(adjustment_signal()).alias("_comp_pair")))
-    per_rid = (pairs.groupBy(F.col("_rk").alias("_grk"), F.col("_rn").alias("_grn"))
-                    .agg(F.sum("n_pair").alias("n_rid"), F.bool_or("_comp_pair").alias("comp")))
-    cond = (F.col("_rk") == F.col("_grk")) & (F.col("_rn") == F.col("_grn"))
-    return (pairs.join(per_rid, cond, "left")
-                 .select("_rk", "_rn", "_ak", "_an", "n_pair", "n_rid", "comp"))
+    keys = ([N.c(N.RELATED_ORDER_ID).alias("_prid")] if by_related_id else []) + [ak.alias("_ak"), an.alias("_an")]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pair"))
+
+
+def _null_group(df: DataFrame) -> tuple[Column, Column]:
+    """``n_rid`` and ``comp`` of the one group of entries without a related
+    ID, as scalar subqueries (one global aggregate, no join)."""
+    g = df.agg(F.count(F.lit(1)).alias("n_rid"), F.bool_or(adjustment_signal()).alias("comp"))
+    return g.select("n_rid").scalar(), g.select("comp").scalar()
 
 
 def group_stats(df: DataFrame) -> DataFrame:
     """IN-2, IN-3, IN-7, IN-8 as one row per distinct (related ID, adjustment ID).
 
-    Columns: the two IDs, ``n_pair``, ``n_rid``, ``comp``. The per-related-ID
-    totals are summed from the pair counts, so the entries are scanned once.
+    Columns: the two IDs, ``n_pair``, ``n_rid``, ``comp``.
     """
-    st = _stats(ids_as_text(strip_headers(df)))
-    return st.select(F.when(~F.col("_rn"), F.col("_rk")).alias(N.RELATED_ORDER_ID),
-                     F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID),
-                     "n_pair", "n_rid", "comp")
+    df = ids_as_text(strip_headers(df))
+    rid = N.c(N.RELATED_ORDER_ID)
+    adj = F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID)
+    known = df.where(rid.isNotNull())
+    pairs, ids = _pair_stats(known, True), _id_stats(known)
+    a = (pairs.join(ids, pairs["_prid"] == ids["_rid"], "left")
+              .select(F.col("_prid").alias(N.RELATED_ORDER_ID), adj, "n_pair", "n_rid", "comp"))
+    unknown = df.where(rid.isNull())
+    n_rid, comp = _null_group(unknown)
+    b = _pair_stats(unknown, False).select(
+        F.lit(None).cast("string").alias(N.RELATED_ORDER_ID), adj, "n_pair",
+        n_rid.alias("n_rid"), comp.alias("comp"))
+    return a.unionByName(b)
 
 
 def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
@@ -97,16 +109,28 @@ def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
 def attach_group_stats(df: DataFrame) -> DataFrame:
     """The entries (IDs as text) with ``n_pair``, ``n_rid`` and ``comp`` attached.
 
-    A left join on the unique statistics keeps every entry exactly once;
-    when a query reads none of the three columns, Catalyst removes the join
-    and both aggregations from the plan.
+    Entries with a related ID join both statistics directly on the raw ID,
+    so a filter on it (a search for one order) is inferred into both
+    aggregations and pushed into every scan. Entries without one form one
+    group, handled in a second branch. Left joins on unique statistics keep
+    every entry exactly once, and when a query reads none of the three
+    columns Catalyst removes the joins and aggregations from the plan.
     """
     df = ids_as_text(strip_headers(df))
-    st = _stats(df)
-    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
+    rid = N.c(N.RELATED_ORDER_ID)
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
-    cond = ((rk == st["_rk"]) & (rn == st["_rn"]) & (ak == st["_ak"]) & (an == st["_an"]))
-    return df.join(st, cond, "left").drop("_rk", "_rn", "_ak", "_an")
+    known = df.where(rid.isNotNull())
+    ids, pairs = _id_stats(known), _pair_stats(known, True)
+    a = (known.join(ids, rid == ids["_rid"], "left")
+              .join(pairs, (rid == pairs["_prid"]) & (ak == pairs["_ak"]) & (an == pairs["_an"]), "left")
+              .drop("_rid", "_prid", "_ak", "_an"))
+    unknown = df.where(rid.isNull())
+    n_rid, comp = _null_group(unknown)
+    npairs = _pair_stats(unknown, False)
+    b = (unknown.join(npairs, (ak == npairs["_ak"]) & (an == npairs["_an"]), "left")
+                .drop("_ak", "_an")
+                .withColumns({"n_rid": n_rid, "comp": comp}))
+    return a.unionByName(b)
 
 
 def classify_income(df: DataFrame) -> DataFrame:
