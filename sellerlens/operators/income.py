@@ -55,25 +55,30 @@ def _norm(col: Column) -> tuple[Column, Column]:
     return F.coalesce(col, F.lit("")), col.isNull()
 
 
-def _id_stats(df: DataFrame) -> DataFrame:
-    """Per related ID (non-null): ``n_rid`` entries and ``comp`` (any adjustment)."""
-    return (df.groupBy(N.c(N.RELATED_ORDER_ID).alias("_rid"))
-              .agg(F.count(F.lit(1)).alias("n_rid"), F.bool_or(adjustment_signal()).alias("comp")))
-
-
 def _pair_stats(df: DataFrame, by_related_id: bool) -> DataFrame:
-    """Per (related ID, adjustment ID): ``n_pair``; keys ``_prid`` (if
-    ``by_related_id``), ``_ak``, ``_an`` (the adjustment ID normalised)."""
+    """Per (related ID, adjustment ID): ``n_pair`` and ``_comp_pair``; keys
+    ``_prid`` (if ``by_related_id``), ``_ak``, ``_an`` (adjustment ID
+    normalised). Combined map-side before the shuffle."""
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
     keys = ([N.c(N.RELATED_ORDER_ID).alias("_prid")] if by_related_id else []) + [ak.alias("_ak"), an.alias("_an")]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pair"))
+    return (df.groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias("n_pair"),
+                   F.bool_or(adjustment_signal()).alias("_comp_pair")))
+
 
+def _id_stats(pairs: DataFrame) -> DataFrame:
+    """Per related ID: ``n_rid`` and ``comp``, summed from the pair rows (the
+    pair aggregation's shuffle is shared with the pair join)."""
+    return (pairs.groupBy(F.col("_prid").alias("_rid"))
+                 .agg(F.sum("n_pair").alias("n_rid"), F.bool_or("_comp_pair").alias("comp")))
 
-def _null_group(df: DataFrame) -> tuple[Column, Column]:
-    """``n_rid`` and ``comp`` of the one group of entries without a related
-    ID, as scalar subqueries (one global aggregate, no join)."""
-    g = df.agg(F.count(F.lit(1)).alias("n_rid"), F.bool_or(adjustment_signal()).alias("comp"))
-    return g.select("n_rid").scalar(), g.select("comp").scalar()
+
+def _null_group(pairs: DataFrame) -> Column:
+    """``struct(n_rid, comp)`` of the one group of entries without a related
+    ID: a single scalar subquery over their pair rows (no join)."""
+    g = pairs.agg(F.struct(F.sum("n_pair").alias("n_rid"),
+                           F.bool_or("_comp_pair").alias("comp")).alias("g"))
+    return g.select("g").scalar()
 
 
 def group_stats(df: DataFrame) -> DataFrame:
@@ -84,15 +89,14 @@ def group_stats(df: DataFrame) -> DataFrame:
     df = ids_as_text(strip_headers(df))
     rid = N.c(N.RELATED_ORDER_ID)
     adj = F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID)
-    known = df.where(rid.isNotNull())
-    pairs, ids = _pair_stats(known, True), _id_stats(known)
+    pairs = _pair_stats(df.where(rid.isNotNull()), True)
+    ids = _id_stats(pairs)
     a = (pairs.join(ids, pairs["_prid"] == ids["_rid"], "left")
               .select(F.col("_prid").alias(N.RELATED_ORDER_ID), adj, "n_pair", "n_rid", "comp"))
-    unknown = df.where(rid.isNull())
-    n_rid, comp = _null_group(unknown)
-    b = _pair_stats(unknown, False).select(
-        F.lit(None).cast("string").alias(N.RELATED_ORDER_ID), adj, "n_pair",
-        n_rid.alias("n_rid"), comp.alias("comp"))
+    npairs = _pair_stats(df.where(rid.isNull()), False)
+    g = _null_group(npairs)
+    b = npairs.select(F.lit(None).cast("string").alias(N.RELATED_ORDER_ID), adj, "n_pair",
+                      g.getField("n_rid").alias("n_rid"), g.getField("comp").alias("comp"))
     return a.unionByName(b)
 
 
@@ -120,16 +124,19 @@ def attach_group_stats(df: DataFrame) -> DataFrame:
     rid = N.c(N.RELATED_ORDER_ID)
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
     known = df.where(rid.isNotNull())
-    ids, pairs = _id_stats(known), _pair_stats(known, True)
+    pairs = _pair_stats(known, True)
+    ids = _id_stats(pairs)
+    p = pairs.drop("_comp_pair")
     a = (known.join(ids, rid == ids["_rid"], "left")
-              .join(pairs, (rid == pairs["_prid"]) & (ak == pairs["_ak"]) & (an == pairs["_an"]), "left")
+              .join(p, (rid == p["_prid"]) & (ak == p["_ak"]) & (an == p["_an"]), "left")
               .drop("_rid", "_prid", "_ak", "_an"))
     unknown = df.where(rid.isNull())
-    n_rid, comp = _null_group(unknown)
     npairs = _pair_stats(unknown, False)
-    b = (unknown.join(npairs, (ak == npairs["_ak"]) & (an == npairs["_an"]), "left")
+    g = _null_group(npairs)
+    np_ = npairs.drop("_comp_pair")
+    b = (unknown.join(np_, (ak == np_["_ak"]) & (an == np_["_an"]), "left")
                 .drop("_ak", "_an")
-                .withColumns({"n_rid": n_rid, "comp": comp}))
+                .withColumns({"n_rid": g.getField("n_rid"), "comp": g.getField("comp")}))
     return a.unionByName(b)
 
 
