@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
@@ -91,10 +90,6 @@ def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- registry
 
-def _t(fn):  # report over cleaned tables
-    return fn
-
-
 S = search.DEFAULT_SEARCH
 
 QUERIES: dict[str, Query] = {
@@ -130,41 +125,46 @@ QUERIES: dict[str, Query] = {
     "order_type": lambda s, d: _ids(income.order_type(_income_raw(s, d)), N.ORDER_TYPE),
     "settled_date": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLED_TIME), T.settled_date(c(N.SETTLED_TIME))),
     "classify_income": lambda s, d: tables(s, d).income,
-    # reports
-    "orders_by_month": lambda s, d: reports.orders_by_month(tables(s, d).orders),
-    "sku_summary": lambda s, d: reports.sku_summary(tables(s, d).orders),
-    "sku_monthly": lambda s, d: reports.sku_monthly(tables(s, d).orders),
-    "income_by_month": lambda s, d: reports.income_by_month(tables(s, d).income),
-    "income_by_month_text": lambda s, d: reports.income_by_month_text(tables(s, d).income),
-    "traffic_by_month": lambda s, d: reports.traffic_by_month(tables(s, d).overview),
-    "top_buyers": lambda s, d: reports.top_buyers(*_oi(s, d)),
-    "top_provinces": lambda s, d: reports.top_provinces(*_oi(s, d)),
-    "adjustments": lambda s, d: reports.adjustments(*_oi(s, d)),
-    "region_analysis": lambda s, d: reports.region_analysis(*_oi(s, d)),
-    "region_analysis_text": lambda s, d: reports.with_money_text(reports.region_analysis(*_oi(s, d))),
-    "product_analysis": lambda s, d: reports.product_analysis(*_oi(s, d)),
-    "product_analysis_text": lambda s, d: reports.with_money_text(reports.product_analysis(*_oi(s, d))),
-    "error_by_month": lambda s, d: reports.error_by_month(tables(s, d).orders),
-    "error_list": lambda s, d: reports.error_list(tables(s, d).orders),
-    # searches
-    "find_order": lambda s, d: search.find_by_order(*_oi(s, d), S["order_id"]),
-    "find_city": lambda s, d: search.find_by_city(*_oi(s, d), S["city"]),
-    "find_sku": lambda s, d: search.find_by_sku(*_oi(s, d), S["sku_id"]),
-    "find_buyer": lambda s, d: search.find_by_buyer(*_oi(s, d), S["buyer"]),
-    "match_counts": lambda s, d: search.match_counts(*_oi(s, d), **S),
+    # reports and searches: see ON_TABLES
     # ad hoc SQL
     "adhoc_sql": adhoc_sql,
-    # chart frames
-    "chart_orders_long": lambda s, d: chartdata.chart_orders_long(tables(s, d).orders),
-    "chart_income_long": lambda s, d: chartdata.chart_income_long(tables(s, d).income),
-    "sku_share": lambda s, d: chartdata.sku_share(tables(s, d).orders),
-    "chart_traffic": lambda s, d: chartdata.chart_traffic(tables(s, d).overview),
 }
 
 
-def _oi(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = tables(spark, sf_dir)
-    return t.orders, t.income
+# Reports and searches as functions of the prepared tables, so they can run
+# on tables cleaned now or on tables written earlier (``sinks.tables``).
+ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
+    "orders_by_month": lambda t: reports.orders_by_month(t.orders),
+    "sku_summary": lambda t: reports.sku_summary(t.orders),
+    "sku_monthly": lambda t: reports.sku_monthly(t.orders),
+    "income_by_month": lambda t: reports.income_by_month(t.income),
+    "income_by_month_text": lambda t: reports.income_by_month_text(t.income),
+    "traffic_by_month": lambda t: reports.traffic_by_month(t.overview),
+    "top_buyers": lambda t: reports.top_buyers(t.orders, t.income),
+    "top_provinces": lambda t: reports.top_provinces(t.orders, t.income),
+    "adjustments": lambda t: reports.adjustments(t.orders, t.income),
+    "region_analysis": lambda t: reports.region_analysis(t.orders, t.income),
+    "region_analysis_text": lambda t: reports.with_money_text(reports.region_analysis(t.orders, t.income)),
+    "product_analysis": lambda t: reports.product_analysis(t.orders, t.income),
+    "product_analysis_text": lambda t: reports.with_money_text(reports.product_analysis(t.orders, t.income)),
+    "error_by_month": lambda t: reports.error_by_month(t.orders),
+    "error_list": lambda t: reports.error_list(t.orders),
+    "find_order": lambda t: search.find_by_order(t.orders, t.income, S["order_id"]),
+    "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"]),
+    "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"]),
+    "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"]),
+    "match_counts": lambda t: search.match_counts(t.orders, t.income, **S),
+    "chart_orders_long": lambda t: chartdata.chart_orders_long(t.orders),
+    "chart_income_long": lambda t: chartdata.chart_income_long(t.income),
+    "sku_share": lambda t: chartdata.sku_share(t.orders),
+    "chart_traffic": lambda t: chartdata.chart_traffic(t.overview),
+}
+
+
+def _on_tables(name: str) -> Query:
+    return lambda spark, sf_dir: ON_TABLES[name](tables(spark, sf_dir))
+
 
+QUERIES.update({name: _on_tables(name) for name in ON_TABLES})
 
 FLAGSHIP = "orders_by_month"

@@ -71,10 +71,13 @@ RID, ADJ, TYP = q(N.RELATED_ORDER_ID), q(N.ADJUSTMENT_ID), q(N.TYPE)
 _COMP_ROW = (f"(coalesce(starts_with(CAST({ADJ} AS VARCHAR), '7'), false) "
              f"OR {TYP} IS DISTINCT FROM 'Order')")
 
-PREFIX = f"""WITH
-mkt_orders AS ({FX.DUCK_ORDERS}),
-mkt_income AS ({FX.DUCK_INCOME}),
-mkt_overview AS ({FX.DUCK_OVERVIEW}),
+def prefix(orders_sql: str = FX.DUCK_ORDERS, income_sql: str = FX.DUCK_INCOME,
+           overview_sql: str = FX.DUCK_OVERVIEW) -> str:
+    """The shared CTEs; the three sources default to the fixture derivation."""
+    return f"""WITH
+mkt_orders AS ({orders_sql}),
+mkt_income AS ({income_sql}),
+mkt_overview AS ({overview_sql}),
 province_map AS (SELECT * FROM (VALUES
   {_PROVINCE_VALUES}) AS t(k, v)),
 o1 AS (SELECT *, {d_province_prefix(q(N.PROVINCE))} AS _p FROM mkt_orders),
@@ -95,8 +98,14 @@ joined AS (SELECT * FROM c_orders o JOIN c_income i ON o.{q(N.ORDER_ID)} = i.{RI
 """
 
 
+PREFIX = prefix()
+
+
+_PREFIX = [PREFIX]
+
+
 def _with(body: str) -> str:
-    return PREFIX + body
+    return _PREFIX[0] + body
 
 
 def _money(x: str) -> str:
@@ -183,7 +192,28 @@ def _unpivot(source: str, key: str, cols: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def queries() -> dict[str, str]:
+def queries(sources: tuple[str, str, str] | None = None) -> dict[str, str]:
+    """SQL per key. ``sources`` optionally replaces the three derived inputs
+    by other SQL (e.g. ``SELECT * FROM read_parquet(...)`` of written files)."""
+    _PREFIX[0] = PREFIX if sources is None else prefix(*sources)
+    try:
+        return _queries()
+    finally:
+        _PREFIX[0] = PREFIX
+
+
+def bodies() -> dict[str, str]:
+    """The report part of each query, without the shared CTEs: runnable
+    where ``c_orders``, ``c_income``, ``mkt_overview`` and ``joined`` exist
+    as tables or views (used to time reports over prepared tables)."""
+    _PREFIX[0] = ""
+    try:
+        return _queries()
+    finally:
+        _PREFIX[0] = PREFIX
+
+
+def _queries() -> dict[str, str]:
     city_pattern = "%" + S["city"] + "%"
     out = {
         # sources
