@@ -12,10 +12,10 @@ These are computed as aggregations, not as window functions. An aggregation
 combines rows inside each task before the shuffle, so a hot ID (say a third
 of all entries share one related ID, or the IDs are null) shrinks to one
 row per task instead of landing whole in one task, as a window partition
-would. The statistics (one row per distinct ID pair) are then joined back
-to the entries on both IDs; Spark broadcasts them when AQE measures them
-small and otherwise sort-merges, splitting a skewed entry partition.
-Null IDs form one group each, as the pandas original grouped them.
+would. The statistics (one row per distinct ID pair, and per related ID)
+are then joined back to the entries; Spark broadcasts them when AQE
+measures them small and otherwise sort-merges, splitting a skewed entry
+partition. Null IDs form one group, as the pandas original grouped them.
 """
 
 from __future__ import annotations
@@ -50,54 +50,40 @@ def adjustment_signal(adj: Column | None = None, typ: Column | None = None) -> C
 def _norm(col: Column) -> tuple[Column, Column]:
     """A nullable key as two never-null columns (text or "", is-null flag).
 
-    Equality on both equals null-safe equality on the key, but stays a plain
-    equi-join, which Catalyst can drop when no label is read."""
+    Equality on both equals null-safe equality on the key but stays a plain
+    equi-join, which Catalyst can drop when a query reads no label (a
+    null-safe ``<=>`` join is never dropped)."""
     return F.coalesce(col, F.lit("")), col.isNull()
 
 
-def _pair_stats(df: DataFrame, by_related_id: bool) -> DataFrame:
-    """Per (related ID, adjustment ID): ``n_pair`` and ``_comp_pair``; keys
-    ``_prid`` (if ``by_related_id``), ``_ak``, ``_an`` (adjustment ID
-    normalised). Combined map-side before the shuffle."""
+def _pair_stats(df: DataFrame) -> DataFrame:
+    """Per (related ID, adjustment ID), keys normalised (``_rk, _rn, _ak,
+    _an``): ``n_pair`` and ``_comp_pair``. Combined map-side before the
+    shuffle, so a hot ID pair (or the null IDs) arrives as one row per task."""
+    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
-    keys = ([N.c(N.RELATED_ORDER_ID).alias("_prid")] if by_related_id else []) + [ak.alias("_ak"), an.alias("_an")]
-    return (df.groupBy(*keys)
+    return (df.groupBy(rk.alias("_rk"), rn.alias("_rn"), ak.alias("_ak"), an.alias("_an"))
               .agg(F.count(F.lit(1)).alias("n_pair"),
                    F.bool_or(adjustment_signal()).alias("_comp_pair")))
 
 
 def _id_stats(pairs: DataFrame) -> DataFrame:
-    """Per related ID: ``n_rid`` and ``comp``, summed from the pair rows (the
-    pair aggregation's shuffle is shared with the pair join)."""
-    return (pairs.groupBy(F.col("_prid").alias("_rid"))
+    """Per related ID: ``n_rid`` and ``comp``, summed from the pair rows."""
+    return (pairs.groupBy(F.col("_rk").alias("_irk"), F.col("_rn").alias("_irn"))
                  .agg(F.sum("n_pair").alias("n_rid"), F.bool_or("_comp_pair").alias("comp")))
 
 
-def _null_group(pairs: DataFrame) -> Column:
-    """``struct(n_rid, comp)`` of the one group of entries without a related
-    ID: a single scalar subquery over their pair rows (no join)."""
-    g = pairs.agg(F.struct(F.sum("n_pair").alias("n_rid"),
-                           F.bool_or("_comp_pair").alias("comp")).alias("g"))
-    return g.select("g").scalar()
-
-
 def group_stats(df: DataFrame) -> DataFrame:
     """IN-2, IN-3, IN-7, IN-8 as one row per distinct (related ID, adjustment ID).
 
     Columns: the two IDs, ``n_pair``, ``n_rid``, ``comp``.
     """
-    df = ids_as_text(strip_headers(df))
-    rid = N.c(N.RELATED_ORDER_ID)
-    adj = F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID)
-    pairs = _pair_stats(df.where(rid.isNotNull()), True)
+    pairs = _pair_stats(ids_as_text(strip_headers(df)))
     ids = _id_stats(pairs)
-    a = (pairs.join(ids, pairs["_prid"] == ids["_rid"], "left")
-              .select(F.col("_prid").alias(N.RELATED_ORDER_ID), adj, "n_pair", "n_rid", "comp"))
-    npairs = _pair_stats(df.where(rid.isNull()), False)
-    g = _null_group(npairs)
-    b = npairs.select(F.lit(None).cast("string").alias(N.RELATED_ORDER_ID), adj, "n_pair",
-                      g.getField("n_rid").alias("n_rid"), g.getField("comp").alias("comp"))
-    return a.unionByName(b)
+    j = pairs.join(ids, (F.col("_rk") == F.col("_irk")) & (F.col("_rn") == F.col("_irn")), "left")
+    return j.select(F.when(~F.col("_rn"), F.col("_rk")).alias(N.RELATED_ORDER_ID),
+                    F.when(~F.col("_an"), F.col("_ak")).alias(N.ADJUSTMENT_ID),
+                    "n_pair", "n_rid", "comp")
 
 
 def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
@@ -113,31 +99,25 @@ def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
 def attach_group_stats(df: DataFrame) -> DataFrame:
     """The entries (IDs as text) with ``n_pair``, ``n_rid`` and ``comp`` attached.
 
-    Entries with a related ID join both statistics directly on the raw ID,
-    so a filter on it (a search for one order) is inferred into both
-    aggregations and pushed into every scan. Entries without one form one
-    group, handled in a second branch. Left joins on unique statistics keep
-    every entry exactly once, and when a query reads none of the three
-    columns Catalyst removes the joins and aggregations from the plan.
+    The entries are scanned once more for the pair aggregation; the per-ID
+    totals are summed from the pairs. Both are joined back with left joins
+    on unique, never-null keys, so every entry is kept exactly once, AQE
+    can broadcast small statistics or split a skewed entry partition, and
+    when a query reads none of the three columns Catalyst removes the joins
+    and both aggregations from the plan.
     """
     df = ids_as_text(strip_headers(df))
-    rid = N.c(N.RELATED_ORDER_ID)
+    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
     ak, an = _norm(N.c(N.ADJUSTMENT_ID))
-    known = df.where(rid.isNotNull())
-    pairs = _pair_stats(known, True)
+    pairs = _pair_stats(df)
     ids = _id_stats(pairs)
-    p = pairs.drop("_comp_pair")
-    a = (known.join(ids, rid == ids["_rid"], "left")
-              .join(p, (rid == p["_prid"]) & (ak == p["_ak"]) & (an == p["_an"]), "left")
-              .drop("_rid", "_prid", "_ak", "_an"))
-    unknown = df.where(rid.isNull())
-    npairs = _pair_stats(unknown, False)
-    g = _null_group(npairs)
-    np_ = npairs.drop("_comp_pair")
-    b = (unknown.join(np_, (ak == np_["_ak"]) & (an == np_["_an"]), "left")
-                .drop("_ak", "_an")
-                .withColumns({"n_rid": g.getField("n_rid"), "comp": g.getField("comp")}))
-    return a.unionByName(b)
+    j = (df.join(ids, (rk == ids["_irk"]) & (rn == ids["_irn"]), "left")
+           .join(pairs, (rk == pairs["_rk"]) & (rn == pairs["_rn"])
+                 & (ak == pairs["_ak"]) & (an == pairs["_an"]), "left"))
+    # comp already covers the pair's own flag; reading _comp_pair here keeps
+    # both uses of the pair aggregation identical, so its shuffle is reused
+    return (j.withColumn("comp", F.col("comp") | F.col("_comp_pair"))
+             .drop("_irk", "_irn", "_rk", "_rn", "_ak", "_an", "_comp_pair"))
 
 
 def classify_income(df: DataFrame) -> DataFrame:

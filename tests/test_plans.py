@@ -52,6 +52,9 @@ def test_aggregations_combine_before_shuffle(spark):
 def test_labels_pruned_when_unused(spark):
     for name in ("income_by_month", "scan_income"):
         assert "Join" not in optimized(q(spark, name)), name
+    # and the entries are scanned once
+    plan = q(spark, "income_by_month")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
     # the join reports keep only the per-order join
     assert optimized(q(spark, "top_buyers")).count("Join ") == 1
 
@@ -70,7 +73,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     sku = physical(spark, q(spark, "find_sku"))
     assert "EqualTo(`SKU ID`,558)" in sku
     order = physical(spark, q(spark, "find_order"))
-    assert order.count("EqualTo(`Related order ID`,500000000000000143)") >= 3
+    assert "EqualTo(`Related order ID`,500000000000000143)" in order
     summary = physical(spark, q(spark, "sku_summary"))
     assert "ReadSchema: struct<Order Status:string,Seller SKU:string,Quantity:bigint>" in summary
 
