@@ -1,7 +1,7 @@
 """Benchmark the headline queries; print one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3), BENCH_COMPARE (default 1).
+BENCH_RUNS (default 5), BENCH_COMPARE (default 1).
 
 The flow follows the dashboard's: the three exports are cleaned and
 classified once, then every report and search runs on the prepared tables.
@@ -117,7 +117,7 @@ def duckdb_times(paths, names: list[str], cpus: int, runs: int) -> tuple[dict, f
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = sys.argv[1:] or LOAD + REPORTS
 
     from sellerlens.session import local_session

@@ -118,3 +118,20 @@ def test_adhoc_sql_dialect_and_params(spark):
     assert rows(j) == [(6,)]  # order 1: 2 x 2, orders 2 and 4: 1 x 1
     # the caller's session does not see these views
     assert "orders" not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_persist_and_views(spark):
+    o, i = make(spark, LINES, ENTRIES)
+    ov = spark.createDataFrame([("2024-02-01", 3, 2, 0.5)],
+                               ", ".join(f"`{k}` {t.simpleString()}" for k, t in OVERVIEW_TYPES.items()))
+    t = Tables(o, i, ov).persist()
+    try:
+        assert t.orders.storageLevel.useDisk and t.income.is_cached
+        assert t.orders.count() == len(LINES)
+        session = spark.newSession()
+        copy = Tables(*(session.createDataFrame(df.toPandas(), df.schema) for df in (t.orders, t.income, t.overview)))
+        copy.register()
+        assert session.sql("SELECT COUNT(*) FROM orders").collect()[0][0] == len(LINES)
+    finally:
+        t.unpersist()
+    assert not t.orders.is_cached
