@@ -115,15 +115,16 @@ def income_by_month_text(income: DataFrame) -> DataFrame:
                     money_text(c(N.NET_REVENUE)).alias(N.NET_REVENUE + N.FMT_SUFFIX))
 
 
-def traffic_by_month(overview: DataFrame) -> DataFrame:
+def traffic_by_month(overview: DataFrame, lenient: bool = False) -> DataFrame:
     """Q5: page views and store visits summed, conversion averaged per month.
 
     The average is the plain mean of the daily rates (not weighted), summed
-    exactly (see ``exact_mean``). The day
-    is cast to DATE; a day text that is not a date fails the job, as the
-    SQL cast does.
+    exactly (see ``exact_mean``). The day is cast to DATE; a day text that
+    is not a date fails the job, as the SQL cast does, unless ``lenient``
+    (then it counts under a null month).
     """
-    month = F.date_format(c(N.DAY).cast("date"), "yyyy-MM")
+    day = c(N.DAY).try_cast("date") if lenient else c(N.DAY).cast("date")
+    month = F.date_format(day, "yyyy-MM")
     return (overview.groupBy(month.alias(N.MONTH_VN))
                     .agg(F.sum(c(N.PAGE_VIEWS)).alias(N.PAGE_VIEWS),
                          F.sum(c(N.STORE_VISITS)).alias(N.STORE_VISITS),

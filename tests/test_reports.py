@@ -127,3 +127,19 @@ def test_money_text_columns(spark):
     o, i = make(spark, LINES, ENTRIES)
     got = rows(R.with_money_text(R.region_analysis(o, i)), N.PROVINCE, N.REVENUE)
     assert ("Hà Nội", "210 ₫") in got
+
+
+def test_traffic_lenient_day(spark):
+    ov = spark.createDataFrame(
+        [("2024-01-01", 10, 2, 0.1), ("not a day", 20, 3, 0.2)],
+        "`Ngày` string, `Lượt xem trang` bigint, `Lượt truy cập trang Cửa hàng` bigint, `Tỷ lệ chuyển đổi` double")
+    got = rows(R.traffic_by_month(ov, lenient=True), N.MONTH_VN, N.PAGE_VIEWS)
+    assert got == [("2024-01", 10), (None, 20)]
+
+
+def test_lookup_join_dictionary(spark):
+    from sellerlens.functions.mapping import PROVINCE_MAP, lookup_join
+    d = spark.createDataFrame(list(PROVINCE_MAP.items()), "key string, value string")
+    df = spark.createDataFrame([("Ha Noi",), ("Nowhere",), (None,)], "Province string")
+    got = rows(lookup_join(df, "Province", d))
+    assert sorted(got, key=repr) == sorted([("Hà Nội",), ("Nowhere",), (None,)], key=repr)
