@@ -241,9 +241,10 @@ def lookup_join(df: DataFrame, col: str, dictionary: DataFrame,
                 key: str = "key", value: str = "value") -> DataFrame:
     """Replace values of ``col`` through a dictionary held as a DataFrame.
 
-    For dictionaries too big for a literal map. Spark picks broadcast or
-    sort-merge by the dictionary's measured size (AQE); unmatched and null
-    values keep their text.
+    For dictionaries too big for a literal map. Keys must be unique (a
+    repeated key would repeat rows). Spark picks broadcast or sort-merge by
+    the dictionary's measured size (AQE); unmatched and null values keep
+    their text.
     """
     d = dictionary.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     return (df.join(d, F.col(col) == F.col("__k"), "left")
