@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens import names as N
+from sellerlens.operators.income import classify_income
 from sellerlens.plans.joins import order_income
 
 c = N.c
@@ -33,15 +34,23 @@ BUYER_COLUMNS = [N.ORDER_ID, N.ORDER_STATUS, N.SKU_CATEGORY, N.QUANTITY, N.TOTAL
                  N.SETTLEMENT, N.CREATED_TIME, N.PROVINCE]
 
 
-def find_by_order(orders: DataFrame, income: DataFrame, order_id: str) -> DataFrame:
+def find_by_order(orders: DataFrame, income: DataFrame, order_id: str,
+                  entries: DataFrame | None = None) -> DataFrame:
     """P1: every column of the joined rows of one order.
 
-    The ID is applied to both sides before the join (same result), so the
-    filter reaches both scans. On tables prepared once (``sinks.tables``)
-    that is the whole cost; on raw exports the classification statistics
-    still aggregate every ID, as labels depend on whole groups."""
+    The ID is applied to both sides before the join (same result), so it
+    reaches both scans. Given the unclassified ``entries`` (``Tables.entries``),
+    only that order's entries are classified: every label depends only on
+    entries with the same related ID, so the result is identical, and the
+    ID filter reaches the classification's scans and aggregations too
+    instead of them grouping every ID of the table.
+    """
     o = orders.where(c(N.ORDER_ID) == F.lit(order_id))
-    i = income.where(c(N.RELATED_ORDER_ID) == F.lit(order_id))
+    if entries is not None:
+        mine = entries.where(c(N.RELATED_ORDER_ID).cast("string") == F.lit(order_id))
+        i = classify_income(mine)
+    else:
+        i = income.where(c(N.RELATED_ORDER_ID) == F.lit(order_id))
     return order_income(o, i)
 
 
@@ -78,10 +87,10 @@ def has_matches(result: DataFrame) -> bool:
 
 
 def match_counts(orders: DataFrame, income: DataFrame, order_id: str, city: str,
-                 sku_id: str, buyer: str) -> DataFrame:
+                 sku_id: str, buyer: str, entries: DataFrame | None = None) -> DataFrame:
     """P5: the number of rows each search returns, one row per search."""
     searches = {
-        "order": find_by_order(orders, income, order_id),
+        "order": find_by_order(orders, income, order_id, entries),
         "city": find_by_city(orders, income, city),
         "sku": find_by_sku(orders, income, sku_id),
         "buyer": find_by_buyer(orders, income, buyer),

@@ -100,15 +100,21 @@ def read_json_table(spark: SparkSession, path: str,
 
 @dataclass(frozen=True)
 class Tables:
-    """Cleaned orders, classified income and the daily overview."""
+    """Cleaned orders, classified income and the daily overview.
+
+    ``entries`` optionally keeps the conformed, unclassified settlement
+    entries, so a search for one order can classify just that order's
+    entries (labels depend only on entries of the same related ID).
+    """
     orders: DataFrame
     income: DataFrame
     overview: DataFrame
+    entries: DataFrame | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "Tables":
         """SRC-5: keep the three tables for reuse; lost blocks are recomputed."""
         return Tables(self.orders.persist(level), self.income.persist(level),
-                      self.overview.persist(level))
+                      self.overview.persist(level), self.entries)
 
     def unpersist(self) -> None:
         for df in (self.orders, self.income, self.overview):
@@ -148,10 +154,12 @@ def load_tables(spark: SparkSession, orders: str, income: str, overview: str,
     if raw is None:
         return None
     o, i, v = raw
+    entries = conform(i, INCOME_TYPES)
     return Tables(
         clean_orders(conform(o, ORDERS_TYPES)),
-        classify_income(conform(i, INCOME_TYPES)),
+        classify_income(entries),
         conform(v, OVERVIEW_TYPES, strip=False),
+        entries,
     )
 
 

@@ -73,7 +73,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     sku = physical(spark, q(spark, "find_sku"))
     assert "EqualTo(`SKU ID`,558)" in sku
     order = physical(spark, q(spark, "find_order"))
-    assert "EqualTo(`Related order ID`,500000000000000143)" in order
+    # the one-order search classifies only that order's entries: every scan is filtered
+    assert order.count("EqualTo(`Related order ID`,500000000000000143)") >= 3
     summary = physical(spark, q(spark, "sku_summary"))
     assert "ReadSchema: struct<Order Status:string,Seller SKU:string,Quantity:bigint>" in summary
 
