@@ -168,9 +168,9 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "error_by_month": lambda t: reports.error_by_month(t.orders),
     "error_list": lambda t: reports.error_list(t.orders),
     "find_order": lambda t: search.find_by_order(t.orders, t.income, S["order_id"], t.entries),
-    "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"]),
-    "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"]),
-    "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"]),
+    "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"], entries=t.entries),
+    "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"], t.entries),
+    "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"], t.entries),
     "match_counts": lambda t: search.match_counts(t.orders, t.income, **S, entries=t.entries),
     "chart_orders_long": lambda t: chartdata.chart_orders_long(t.orders),
     "chart_income_long": lambda t: chartdata.chart_income_long(t.income),

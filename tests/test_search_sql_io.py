@@ -135,3 +135,18 @@ def test_persist_and_views(spark):
     finally:
         t.unpersist()
     assert not t.orders.is_cached
+
+
+def test_searches_with_entries_equal_without(spark):
+    from tests.test_reports import INCOME_SCHEMA
+    o, i = make(spark, LINES, ENTRIES)
+    e = spark.createDataFrame(ENTRIES, INCOME_SCHEMA)
+    pairs = [
+        (search.find_by_order(o, i, "1"), search.find_by_order(o, i, "1", e)),
+        (search.find_by_city(o, i, "hà"), search.find_by_city(o, i, "hà", entries=e)),
+        (search.find_by_sku(o, i, "1"), search.find_by_sku(o, i, "1", e)),
+        (search.find_by_buyer(o, i, "b1"), search.find_by_buyer(o, i, "b1", e)),
+    ]
+    for plain, narrowed in pairs:
+        assert plain.columns == narrowed.columns
+        assert sorted(rows(plain), key=repr) == sorted(rows(narrowed), key=repr)
