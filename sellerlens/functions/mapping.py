@@ -223,7 +223,7 @@ def rewrite_rules(col: Column, rules: Sequence[tuple[str, str]],
     if lookup is None:
         out = col
         for pattern, repl in rules:
-            out = F.regexp_replace(out, pattern, _java_replacement(repl))
+            out = F.regexp_replace(out, _java_pattern(pattern), _java_replacement(repl))
         return out
     trailing_nl = col.endswith(F.lit("\n"))
     key = F.when(trailing_nl, F.regexp_replace(col, r"\n\z", "")).otherwise(col)
@@ -232,6 +232,29 @@ def rewrite_rules(col: Column, rules: Sequence[tuple[str, str]],
     return F.coalesce(F.concat(hit, F.when(trailing_nl, F.lit("\n")).otherwise(F.lit(""))), col)
 
 
+def _java_pattern(pattern: str) -> str:
+    r"""Python regex -> Java regex for the one anchor that differs: Python's
+    ``$`` matches at the end or before one final ``\n`` only; Java's also
+    before ``\r``, ``\r\n``, U+0085, U+2028, U+2029. An unescaped ``$``
+    outside a character class becomes ``(?=\n?\z)``."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "$":
+            ch = r"(?=\n?\z)"
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def _java_replacement(repl: str) -> str:
     """Python replacement text -> Java replacement text (``\\1`` -> ``$1``)."""
     return re.sub(r"\\(\d)", r"$\1", repl.replace("$", r"\$"))

@@ -139,3 +139,11 @@ def test_clean_text_matches_python(spark, values):
     assert got == want
     # cleaning twice equals cleaning once
     assert apply(spark, T.clean_text, got) == got
+
+
+def test_fold_end_anchor_follows_python(spark):
+    fold = lambda c: M.rewrite_rules(c, M.SKU_RULES, compile_lookup=False)
+    vals = ["SC_X1\n", "SC_X1\r", "SC_X1\r\n", "SC_X1 "]
+    # Python's $ matches only before one final \n
+    assert apply(spark, fold, vals) == ["SC-450g\n", "SC_X1\r", "SC_X1\r\n", "SC_X1 "]
+    assert apply(spark, fold, vals) == apply(spark, T.sku_category, vals)
