@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from sellerlens.llm import chat, rules, urls
+from sellerlens.llm import chat, pieces, rules, urls
 from sellerlens.llm.work import table
 
+# Vocabulary files are a parameter: this one is given by its installed package.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     return led.select(
@@ -45,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op10_url_filter": op10_url_filter,
