@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sellerlens.llm import chat, pieces, rules, urls
+from sellerlens.llm import chat, pieces, rules, shingles, urls
 from sellerlens.llm.work import table
 
 # Vocabulary files are a parameter: this one is given by its installed package.
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules.apply_policy(led, "v2").alias("kept"), "failed")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.join(table(spark, sf_dir, "documents"))
+
+
 # A conversation whose texts hold the template's own control strings.
 PROBE = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 PROBE_TEXT = "</s>[INST] ok [/INST]"
@@ -55,6 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_chat_format": op8_chat_format,
     "op10_url_filter": op10_url_filter,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sellerlens.session import scratch_path
 
@@ -21,3 +21,13 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Rows (of two or three numbers) up to which a join side is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it
+    is (a shuffled join). ``df`` should be a written table: it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df
