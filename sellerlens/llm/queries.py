@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sellerlens.llm import chat, langid, pieces, quality, rules, shingles, urls
+from sellerlens.llm import chat, langid, lines, pieces, quality, rules, shingles, urls
 from sellerlens.llm.work import table
 
 # Vocabulary files are a parameter: this one is given by its installed package.
@@ -52,6 +52,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(probe)))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 URL_RULES = (
     urls.UrlRule("allow", "org", "/"),
     urls.UrlRule("block", "example.org", "/es/"),
@@ -72,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_chat_format": op8_chat_format,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
