@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sellerlens.llm import chat, langid, lines, pieces, quality, rules, shingles, urls
+from sellerlens.llm import ann, chat, langid, lines, mixing, pieces, quality, rules, shingles, urls
 from sellerlens.llm.work import table
 
 # Vocabulary files are a parameter: this one is given by its installed package.
@@ -20,6 +20,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+# Sources and topics are evened out by an exponent, languages have fixed shares.
+MIX_TARGETS = {"source": 0.7, "lang": {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}, "topic": 0.8}
+MIX_SHARE = 0.7
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_SHARE)
+    return t.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"),
+                    F.col("__sampled").alias("sampled"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,6 +52,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 # A conversation whose texts hold the template's own control strings.
 PROBE = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 PROBE_TEXT = "</s>[INST] ok [/INST]"
@@ -74,10 +89,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_source_mixing": op2_source_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_nn_descent": op7_nn_descent,
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
