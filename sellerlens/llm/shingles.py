@@ -284,8 +284,9 @@ def join(documents: DataFrame) -> DataFrame:
     counted = cut(found.where("b IS NOT NULL").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")), "counted")
 
     def possible(pairs, overlap):
-        """Pairs whose overlap so far and all that can follow suffices."""
-        most = overlap + F.least(_remaining(F.col("na")), _remaining(F.col("nb")))
+        """Pairs whose overlap so far and all that can follow suffices: what
+        the set whose first columns end earlier still has, at most."""
+        most = overlap + F.greatest(_remaining(F.col("na")), _remaining(F.col("nb")))
         return pairs.where(most >= _needed(F.col("na"), F.col("nb")))
 
     def with_open(pairs):

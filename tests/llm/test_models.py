@@ -1,0 +1,182 @@
+"""Language ID, quality classifier, mixing, nearest neighbours, pipeline."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sellerlens.llm import ann, langid, mixing, pieces, quality
+from sellerlens.llm.queries import MIX_TARGETS, QUERIES, ORACLE_SQL
+from tests.llm import cases
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = langid.identify(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out AND n_chars >= 20").toPandas()
+    assert (out.lang == out.lang_pred).mean() > 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_language_awkward(spark):
+    docs = cases.documents(spark)
+    out = {(r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert {(d, p) for d, p, _ in out if d in (4, 5, 6, 10)} == {(d, "und") for d in (4, 5, 6, 10)}
+    assert all(p == "en" and 0 < s <= 1 for d, p, s in out if d not in (4, 5, 6, 10))
+    assert langid.identify(cases.empty(spark)).count() == 0
+    nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
+
+
+def test_language_reads_whole_texts():
+    net = langid.ByteNet(["a", "b"])
+    r = np.random.default_rng(0)
+    x = np.zeros((400, langid.WINDOW), np.uint8)
+    y = np.arange(400) % 2
+    for i in range(400):
+        x[i] = r.choice(list(b"xyz" if y[i] else b"uvw"), langid.WINDOW)
+    net.fit(x, y, epochs=8)
+    text = "uvw" * 100 + "xyz" * 3000
+    assert langid.predict_texts(net, [text])[0][0] == "b"
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
+    rank = out.score.rank()
+    good = out.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.9 and (out.predicted == out.quality).mean() > 0.9
+
+
+def test_quality_awkward(spark):
+    docs = cases.documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 0), (4, 0, 0), (7, None, None), (None, 1, 0), (9, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    out = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    assert quality.score(cases.empty(spark), None).count() == 0
+    assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
+
+
+CELLS = pd.DataFrame({"source": list("aabbcc"), "lang": ["x", "y"] * 3, "n": [100, 50, 10, 40, 300, 0]})
+TARGETS = {"source": 0.5, "lang": {"x": 0.5, "y": 0.5}}
+
+
+def test_raking_meets_the_marginals(spark):
+    w = mixing.rake(CELLS, ["source", "lang"], TARGETS)
+    got = CELLS.assign(w=w)
+    root = CELLS.groupby("source").n.sum() ** 0.5
+    assert np.allclose(got.groupby("source").w.sum(), root / root.sum(), atol=1e-6)
+    assert np.allclose(got.groupby("lang").w.sum(), 0.5, atol=1e-6)
+    t = mixing.rake_table(spark.createDataFrame(CELLS), ["source", "lang"], TARGETS).toPandas()
+    both = got.merge(t, on=["source", "lang", "n"])
+    assert len(both) == 6 and np.allclose(both.w_x, both.w_y, atol=1e-6)
+    p = mixing.probabilities(CELLS, w, 0.6)
+    assert ((0 <= p) & (p <= 1)).all() and abs((p * CELLS.n).sum() - 0.6 * CELLS.n.sum()) < 1e-6
+
+
+def test_mixing_samples_the_wanted_share(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    t = mixing.mix(docs, MIX_TARGETS, 0.5).cache()
+    whole, expected, sampled = t.agg(F.sum("__tokens"), F.sum(F.col("__tokens") * F.col("__probability")),
+                                     F.sum(F.when(F.col("__sampled"), F.col("__tokens")))).first()
+    assert t.count() == 1000 and abs(expected / whole - 0.5) < 1e-6 and abs(sampled / whole - 0.5) < 0.08
+    many = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5, cells_on_driver=0).select("doc_id", "__probability").toPandas()
+    few = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5).select("doc_id", "__probability").toPandas()
+    both = many.merge(few, on="doc_id")
+    assert len(both) == 1000 and np.allclose(both.iloc[:, 1], both.iloc[:, 2], atol=1e-6)
+
+
+def test_mixing_awkward(spark):
+    t = mixing.mix(cases.documents(spark), MIX_TARGETS, 0.7)
+    assert t.count() == 15 and t.where("__probability IS NULL OR __sampled IS NULL").count() == 0
+    assert mixing.mix(cases.empty(spark), MIX_TARGETS, 0.7).count() == 0
+
+
+def test_neighbours_recall_and_ties(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(900, 16))
+    v[300:700] = v[300]                                   # one very common vector
+    v[0] *= 5
+    rows = [(int(i), [float(a) for a in x], "x") for i, x in enumerate(v)]
+    rows += [(5000, None, "x"), (5001, [0.0] * 16, "x"), (5020, [float("nan")] + [1.0] * 15, "x"),
+             (5040, [None] + [1.0] * 15, "x"), (5060, [1.0], "x"), (None, [1.0] * 16, "x"), (899, rows[899][1], "x")]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")).toPandas()
+    s = v @ v.T
+    hit = total = 0
+    for q in range(0, 900, 20):
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-round(s[q, i], 9), i))[:20]
+        mine = out[out.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, [s[q, i] for i in mine.vec_id])
+        hit += len(set(mine.vec_id) & set(order))
+        total += 20
+        if 300 <= q < 700:
+            assert list(mine.vec_id)[:19] == order[:19]
+    assert hit / total >= 0.9 and set(out.query_id) == set(range(0, 900, 20))
+
+
+def test_neighbours_few_and_none(spark):
+    schema = "vec_id long, embedding array<float>"
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], schema)
+    assert [tuple(r) for r in ann.nearest(few).orderBy("rank").collect()] == [(20, 1, 1, 0.5), (20, 2, 2, 0.0)]
+    assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("docs", [cases.documents, cases.empty])
+def test_pipeline_stages_on_awkward_documents(spark, docs):
+    d = docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before = d.columns
+        d = corpus_pipeline.cut(stage(spark, d, SF), name)
+        if name != "sentencepiece":
+            assert d.columns == before
+        if name == "language_id" and docs is cases.documents:
+            assert {r.doc_id for r in d.collect()} == {1, 2, 3, 7, 8, 9, 11, 12, 13, None}
+            assert d.where("doc_id = 7").first().lang == "en"
+    assert d.where("NOT round_trip").count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage's decision, checked on whole sf0.001."""
+    from tests.llm import test_lines, test_shingles
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = corpus_pipeline.cut(corpus_pipeline.language_id(spark, d, SF), "t")
+    assert one.count() == d.where("text RLIKE '\\\\p{L}'").count()
+    two = corpus_pipeline.cut(corpus_pipeline.line_dedup(spark, one, SF), "t")
+    gone = test_lines.brute([(r.doc_id, r.text) for r in one.collect()])
+    want = {}
+    for r in one.collect():
+        parts = r.text.split("\n")
+        kept = [x for i, x in enumerate(parts) if (r.doc_id, i) not in gone]
+        if len(kept) == len(parts) or "".join(kept).strip():
+            want[r.doc_id] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in two.collect()} == want
+    three = corpus_pipeline.cut(corpus_pipeline.ngram_join(spark, two, SF), "t")
+    parts = test_shingles.brute([(r.doc_id, r.text) for r in two.collect()])
+    assert {r.doc_id for r in three.collect()} == {a for a, _, c in parts if a == c}
+    four = corpus_pipeline.cut(corpus_pipeline.source_mixing(spark, three, SF), "t")
+    assert 0 < four.count() < three.count()
+    five = corpus_pipeline.sentencepiece(spark, four, SF)
+    table = pieces.piece_table(pieces.model_bytes(corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")))
+    texts = {r.doc_id: r.text for r in four.collect()}
+    assert {r.doc_id: list(r.ids) for r in five.collect()} == {k: table.encode(t) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_oracles(spark, name):
+    import duckdb
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = c.execute(ORACLE_SQL[name]).df()
+    have = QUERIES[name](spark, SF).toPandas()
+    cols = sorted(want.columns)
+    assert cols == sorted(have.columns)
+    assert sorted(map(repr, have[cols].values.tolist())) == sorted(map(repr, want[cols].values.tolist()))
+
+
+def test_operators_register_ten_queries():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
