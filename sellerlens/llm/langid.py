@@ -24,7 +24,7 @@ WINDOW = 256          # bytes of a window
 WIDTHS = (2, 3, 4)
 FILTERS = 12          # of each width
 EMBED = 6
-EPOCHS = 5
+STEPS = 640           # training steps, whatever the number of rows
 BATCH = 256           # windows predicted together
 UNKNOWN = "und"
 
@@ -77,12 +77,12 @@ class ByteNet:
             tops.append(y.reshape(x.shape[0], -1, FILTERS).max(1) + s)
         return _softmax(np.maximum(np.concatenate(tops, 1), 0) @ self.out + self.bias)
 
-    def fit(self, x, y, epochs=EPOCHS, batch=64, rate=0.004, seed=2):
+    def fit(self, x, y, steps=STEPS, batch=64, rate=0.004, seed=2):
         r = np.random.default_rng(seed)
         m = [np.zeros_like(p) for p in self.params()]
         v = [np.zeros_like(p) for p in self.params()]
-        step, steps = 0, max(1, epochs * -(-len(x) // batch))
-        for _ in range(epochs):
+        step = 0
+        while step < steps:
             order = r.permutation(len(x))
             for k in range(0, len(x), batch):
                 i = order[k:k + batch]

@@ -40,6 +40,7 @@ HIDDEN = 32
 REACH = 2              # neighbours on either side
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PIECE = 1 << 16        # tokens pooled together
+STEPS = 2_000          # training steps, whatever the number of rows
 
 
 def index_vectors(words: list[str], dim: int = DIM, ones: int = 6) -> np.ndarray:
@@ -94,7 +95,7 @@ class WordVectors:
 class Scorer:
     """Word vectors, standardisation, two layers, temperature."""
 
-    def __init__(self, words: WordVectors, x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 3):
+    def __init__(self, words: WordVectors, x: np.ndarray, y: np.ndarray, seed: int = 3):
         self.words = words
         r = np.random.default_rng(seed)
         order = r.permutation(len(x))
@@ -106,19 +107,18 @@ class Scorer:
         self.b1, self.w2, self.b2 = np.zeros(HIDDEN), r.normal(0, 0.2, HIDDEN), np.zeros(1)
         self.temperature = 1.0
         p = [self.w1, self.b1, self.w2, self.b2]
-        m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-        for _ in range(epochs):
-            for k in range(0, len(use), 128):
-                i = use[r.permutation(len(use))[:128]]
-                a = z[i] @ self.w1 + self.b1
-                h = np.maximum(a, 0)
-                e = (_sigmoid(h @ self.w2 + self.b2) - y[i]) / len(i)
-                back = np.outer(e, self.w2) * (a > 0)
-                step += 1
-                for q, g, mm, vv in zip(p, (z[i].T @ back + 4e-3 * self.w1, back.sum(0), h.T @ e + 4e-3 * self.w2, e.sum(keepdims=True)), m, v):
-                    mm += 0.1 * (g - mm)
-                    vv += 0.01 * (g * g - vv)
-                    q -= 0.003 * (mm / (1 - 0.9 ** step)) / (np.sqrt(vv / (1 - 0.99 ** step)) + 1e-8)
+        m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+        for step in range(1, STEPS + 1):
+            i = use[r.integers(0, len(use), 128)]
+            a = z[i] @ self.w1 + self.b1
+            h = np.maximum(a, 0)
+            e = (_sigmoid(h @ self.w2 + self.b2) - y[i]) / len(i)
+            back = np.outer(e, self.w2) * (a > 0)
+            grads = (z[i].T @ back + 4e-3 * self.w1, back.sum(0), h.T @ e + 4e-3 * self.w2, e.sum(keepdims=True))
+            for q, g, mm, vv in zip(p, grads, m, v):
+                mm += 0.1 * (g - mm)
+                vv += 0.01 * (g * g - vv)
+                q -= 0.003 * (mm / (1 - 0.9 ** step)) / (np.sqrt(vv / (1 - 0.99 ** step)) + 1e-8)
         logits, t = self._logits(x[apart]), y[apart]
 
         def loss(temperature):
