@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
@@ -36,6 +37,8 @@ def _memoised(kind: str, spark: SparkSession, sf_dir: str, build):
     hit = _memo.get(key)
     if hit is None or hit[0] is not spark:
         hit = (spark, build())
+        while len(_memo) >= 16:
+            _memo.pop(next(iter(_memo)))
         _memo[key] = hit
     return hit[1]
 
@@ -82,15 +85,15 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ov = raw(spark, sf_dir)[2]
     path = scratch_path(spark, "json")
     ov.write.json(path)
-    schema = ", ".join(f"`{k}` {t.simpleString()}" for k, t in OVERVIEW_TYPES.items())
-    return read_json_table(spark, path, schema, multi_line=False)
+    return read_json_table(spark, path, ov.schema, multi_line=False)
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-1: Q4 written as CSV by the executors and read back."""
-    q4 = reports.income_by_month(tables(spark, sf_dir).income)
-    path = write_csv(q4, scratch_path(spark, "csv"))
-    return read_csv(spark, path, q4.schema)
+    """SNK-1: the cleaned order lines written as CSV by the executors and
+    read back (texts with spaces at the ends, quotes and line breaks)."""
+    o = tables(spark, sf_dir).orders
+    path = write_csv(o, scratch_path(spark, "csv"))
+    return read_csv(spark, path, o.schema, multi_line=True)
 
 
 ADHOC_EXAMPLE = (
@@ -106,6 +109,45 @@ def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adhoc.run_sql(session, ADHOC_EXAMPLE, {"status": N.STATUS_COMPLETED})
 
 
+# The dashboard's own statements, with a positional sort and plain names.
+ADHOC_REPORTS = {
+    "adhoc_orders_by_month": (
+        'SELECT strftime("Created_Timestamp", \'%Y-%m\') AS "Order_Month", COUNT(DISTINCT "Order ID") AS n_orders, '
+        'COUNT(DISTINCT CASE WHEN "Order Status" = \'Canceled\' THEN "Order ID" END) AS n_canceled, '
+        'COUNT(DISTINCT CASE WHEN "Order Status" = \'Completed\' THEN "Order ID" END) AS n_completed '
+        'FROM orders GROUP BY 1 ORDER BY 1'),
+    "adhoc_income_by_month": (
+        'SELECT strftime("Order settled time", \'%Y-%m\') AS "Month", '
+        'round(SUM(CAST("Total revenue" AS DOUBLE)), 4) AS revenue, '
+        'round(SUM(CAST("Total settlement amount" AS DOUBLE)), 4) AS net FROM income GROUP BY 1 ORDER BY 1'),
+    "adhoc_traffic": (
+        'SELECT strftime(\'%Y-%m\', CAST("Ngày" AS DATE)) AS "Month", SUM("Lượt xem trang") AS views, '
+        'round(AVG("Tỷ lệ chuyển đổi"), 9) AS conversion FROM overview GROUP BY 1 ORDER BY 1'),
+    "adhoc_errors": (
+        'SELECT strftime(\'Tháng %m/%Y (%b)\', CAST("Created_Timestamp" AS DATE)) AS "Month", COUNT(*) AS errors '
+        'FROM orders WHERE "Order Substatus" = \'Error Order\' GROUP BY 1 ORDER BY 1'),
+}
+
+
+def _adhoc_report(name: str) -> Query:
+    return lambda spark, sf_dir: adhoc.run_sql(
+        adhoc.sql_session(spark, lambda s: tables(s, sf_dir)), ADHOC_REPORTS[name])
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Sums of DOUBLE as compared with the oracle: the order of addition
+    may change their last digits."""
+    return df.withColumns({k: F.round(c(k), digits) for k, t in df.dtypes if t == "double"})
+
+
+# A rule set with group references and a cascade (the fold, not the lookup).
+GENERAL_RULES = [
+    (r"^SC_X(\d)$", r"SC-\1x\g<1>"),
+    (r"^SC-(\d)x(\d)$", r"\g<2>-of-\1 $"),
+    (r"(?i)^bthp([_-])(.*)$", r"B\1\g<2>"),
+]
+
+
 # ---------------------------------------------------------------- registry
 
 S = search.DEFAULT_SEARCH
@@ -143,9 +185,13 @@ QUERIES: dict[str, Query] = {
     "order_type": lambda s, d: _ids(income.order_type(_income_raw(s, d)), N.ORDER_TYPE),
     "settled_date": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLED_TIME), T.settled_date(c(N.SETTLED_TIME))),
     "classify_income": lambda s, d: tables(s, d).income,
+    "rewrite_rules_general": lambda s, d: _pairs(_orders_raw(s, d), c(N.SELLER_SKU),
+                                                 M.rewrite_rules(c(N.SELLER_SKU), GENERAL_RULES)),
+    "money_text": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLEMENT), T.money_text(c(N.SETTLEMENT))),
     # reports and searches: see ON_TABLES
     # ad hoc SQL
     "adhoc_sql": adhoc_sql,
+    **{name: _adhoc_report(name) for name in ADHOC_REPORTS},
 }
 
 
@@ -155,25 +201,25 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "orders_by_month": lambda t: reports.orders_by_month(t.orders),
     "sku_summary": lambda t: reports.sku_summary(t.orders),
     "sku_monthly": lambda t: reports.sku_monthly(t.orders),
-    "income_by_month": lambda t: reports.income_by_month(t.income),
+    "income_by_month": lambda t: rounded(reports.income_by_month(t.income)),
     "income_by_month_text": lambda t: reports.income_by_month_text(t.income),
-    "traffic_by_month": lambda t: reports.traffic_by_month(t.overview),
+    "traffic_by_month": lambda t: rounded(reports.traffic_by_month(t.overview), 9),
     "top_buyers": lambda t: reports.top_buyers(t.orders, t.income),
     "top_provinces": lambda t: reports.top_provinces(t.orders, t.income),
     "adjustments": lambda t: reports.adjustments(t.orders, t.income),
-    "region_analysis": lambda t: reports.region_analysis(t.orders, t.income),
-    "region_analysis_text": lambda t: reports.with_money_text(reports.region_analysis(t.orders, t.income)),
-    "product_analysis": lambda t: reports.product_analysis(t.orders, t.income),
-    "product_analysis_text": lambda t: reports.with_money_text(reports.product_analysis(t.orders, t.income)),
+    "region_analysis": lambda t: rounded(reports.region_analysis(t.orders, t.income)),
+    "region_analysis_text": lambda t: reports.with_money_text(rounded(reports.region_analysis(t.orders, t.income))),
+    "product_analysis": lambda t: rounded(reports.product_analysis(t.orders, t.income)),
+    "product_analysis_text": lambda t: reports.with_money_text(rounded(reports.product_analysis(t.orders, t.income))),
     "error_by_month": lambda t: reports.error_by_month(t.orders),
     "error_list": lambda t: reports.error_list(t.orders),
     "find_order": lambda t: search.find_by_order(t.orders, t.income, S["order_id"], t.entries),
-    "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"], entries=t.entries),
-    "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"], t.entries),
-    "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"], t.entries),
-    "match_counts": lambda t: search.match_counts(t.orders, t.income, **S, entries=t.entries),
+    "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"]),
+    "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"]),
+    "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"]),
+    "match_counts": lambda t: search.match_counts(t.orders, t.income, **S),
     "chart_orders_long": lambda t: chartdata.chart_orders_long(t.orders),
-    "chart_income_long": lambda t: chartdata.chart_income_long(t.income),
+    "chart_income_long": lambda t: rounded(chartdata.chart_income_long(t.income)),
     "sku_share": lambda t: chartdata.sku_share(t.orders),
     "chart_traffic": lambda t: chartdata.chart_traffic(t.overview),
 }

@@ -223,6 +223,8 @@ def rewrite_rules(col: Column, rules: Sequence[tuple[str, str]],
     if lookup is None:
         out = col
         for pattern, repl in rules:
+            if "(?P" in pattern:
+                raise ValueError(f"named groups are not supported: {pattern!r}")
             out = F.regexp_replace(out, _java_pattern(pattern), _java_replacement(repl))
         return out
     trailing_nl = col.endswith(F.lit("\n"))
@@ -256,8 +258,22 @@ def _java_pattern(pattern: str) -> str:
 
 
 def _java_replacement(repl: str) -> str:
-    """Python replacement text -> Java replacement text (``\\1`` -> ``$1``)."""
-    return re.sub(r"\\(\d)", r"$\1", repl.replace("$", r"\$"))
+    """Python replacement text -> Java replacement text (``\\1`` and
+    ``\\g<1>`` -> ``$1``). Named groups and other escapes are refused."""
+    out = []
+    for m in re.finditer(r"\\g<(\d+)>|\\([1-9]\d?)|\\(\\)|(\\.?)|([^\\]+)", repl):
+        number = m.group(1) or m.group(2)
+        if m.group(4) is not None:
+            raise ValueError(f"replacement {repl!r} is not supported: {m.group(4)!r}")
+        if number is not None:
+            # Java reads on digits after $n, so a following digit is cut off by an escape
+            out.append(f"${int(number)}")
+        elif m.group(3):
+            out.append(r"\\")
+        else:
+            text = m.group(5).replace("$", r"\$")
+            out.append("\\" + text if out and out[-1].startswith("$") and text[0].isdigit() else text)
+    return "".join(out)
 
 
 def lookup_join(df: DataFrame, col: str, dictionary: DataFrame,

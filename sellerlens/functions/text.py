@@ -58,12 +58,14 @@ def py_strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
-def clean_text(c: Column | str) -> Column:
+def clean_text(c: Column | str, null_as: str | None = None) -> Column:
     """CL-2: text cast, delete every tab/CR/LF anywhere, then strip.
 
-    Null stays null (the pandas original turned it into the text "None").
+    Null stays null; ``null_as`` gives the text to put instead (the pandas
+    original produced "None" or "nan").
     """
-    return py_strip(F.translate(_col(c).cast("string"), TAB_CR_LF, ""))
+    out = py_strip(F.translate(_col(c).cast("string"), TAB_CR_LF, ""))
+    return out if null_as is None else F.coalesce(out, F.lit(null_as))
 
 
 def strip_prefix(c: Column | str, prefixes: Sequence[str]) -> Column:
@@ -72,7 +74,7 @@ def strip_prefix(c: Column | str, prefixes: Sequence[str]) -> Column:
     c = _col(c)
     out = c
     for p in reversed(prefixes):
-        out = F.when(c.startswith(p), F.substring(c, len(p) + 1, 1 << 30)).otherwise(out)
+        out = F.when(c.startswith(p), F.substring(c, F.lit(len(p) + 1), F.length(c))).otherwise(out)
     return out
 
 

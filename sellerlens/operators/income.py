@@ -22,17 +22,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sellerlens import names as N
 from sellerlens.functions.text import starts_with_text, with_settled_date
-from sellerlens.sources.files import strip_headers
-
-MONEY = T.DecimalType(18, 2)
+from sellerlens.sources.files import refuse_floating_ids, strip_headers
 
 
 def ids_as_text(df: DataFrame) -> DataFrame:
-    """IN-4: both IDs as text (string or integer input; never floating point)."""
+    """IN-4: both IDs as text (string or integer input). Floating-point IDs
+    have lost digits and would miss in every join, so they are refused."""
+    refuse_floating_ids(df, (N.ADJUSTMENT_ID, N.RELATED_ORDER_ID))
     return df.withColumns({
         N.ADJUSTMENT_ID: N.c(N.ADJUSTMENT_ID).cast("string"),
         N.RELATED_ORDER_ID: N.c(N.RELATED_ORDER_ID).cast("string"),
@@ -114,10 +113,21 @@ def attach_group_stats(df: DataFrame) -> DataFrame:
     j = (df.join(ids, (rk == ids["_irk"]) & (rn == ids["_irn"]), "left")
            .join(pairs, (rk == pairs["_rk"]) & (rn == pairs["_rn"])
                  & (ak == pairs["_ak"]) & (an == pairs["_an"]), "left"))
-    # comp already covers the pair's own flag; reading _comp_pair here keeps
-    # both uses of the pair aggregation identical, so its shuffle is reused
-    return (j.withColumn("comp", F.col("comp") | F.col("_comp_pair"))
-             .drop("_irk", "_irn", "_rk", "_rn", "_ak", "_an", "_comp_pair"))
+    return j.drop("_irk", "_irn", "_rk", "_rn", "_ak", "_an", "_comp_pair")
+
+
+def attach_id_stats(df: DataFrame) -> DataFrame:
+    """The entries (IDs as text) with ``n_rid`` and ``comp`` attached.
+
+    One aggregation per related ID (combined map-side, so a hot ID or the
+    null IDs arrive as one row per task) and one left join on its unique key;
+    labels that do not need the ID pair use this cheaper plan.
+    """
+    df = ids_as_text(strip_headers(df))
+    rk, rn = _norm(N.c(N.RELATED_ORDER_ID))
+    ids = (df.groupBy(rk.alias("_irk"), rn.alias("_irn"))
+             .agg(F.count(F.lit(1)).alias("n_rid"), F.bool_or(adjustment_signal()).alias("comp")))
+    return df.join(ids, (rk == ids["_irk"]) & (rn == ids["_irn"]), "left").drop("_irk", "_irn")
 
 
 def classify_income(df: DataFrame) -> DataFrame:
@@ -138,8 +148,10 @@ def classify_income(df: DataFrame) -> DataFrame:
 
 
 def _one_label(df: DataFrame, name: str) -> DataFrame:
-    joined = attach_group_stats(df)
-    expr = _labels(F.col("n_rid"), F.col("n_pair"), F.col("comp"))[name]
+    paired = name == N.PAYDOUBLE
+    joined = attach_group_stats(df) if paired else attach_id_stats(df)
+    n_pair = F.col("n_pair") if paired else F.lit(None)
+    expr = _labels(F.col("n_rid"), n_pair, F.col("comp"))[name]
     return joined.withColumn(name, expr).drop("n_pair", "n_rid", "comp")
 
 
@@ -160,12 +172,12 @@ def order_type(df: DataFrame) -> DataFrame:
 
 def group_size(df: DataFrame) -> DataFrame:
     """IN-7: ``n_rid``, the number of entries sharing the related ID."""
-    return attach_group_stats(df).drop("n_pair", "comp")
+    return attach_id_stats(df).drop("comp")
 
 
 def group_any(df: DataFrame) -> DataFrame:
     """IN-8: ``comp``, whether any entry of the related ID is an adjustment."""
-    return attach_group_stats(df).drop("n_pair", "n_rid")
+    return attach_id_stats(df).drop("n_rid")
 
 
 def prefix_flag(df: DataFrame) -> DataFrame:
@@ -183,7 +195,7 @@ def income_by_order(income: DataFrame) -> DataFrame:
     """Settlement entries summed per related order (non-null IDs).
 
     One row per order: ``_rid``, ``n_inc`` (entries) and ``rev_sum``
-    (exact decimal sum of ``Total revenue``). Joining order lines to this
+    (sum of ``Total revenue``). Joining order lines to this
     instead of to the entries gives the same totals as the many-to-many
     join without materialising its fan-out.
     """
@@ -191,4 +203,4 @@ def income_by_order(income: DataFrame) -> DataFrame:
     return (income.where(rid.isNotNull())
                   .groupBy(rid.alias("_rid"))
                   .agg(F.count(F.lit(1)).alias("n_inc"),
-                       F.sum(N.c(N.TOTAL_REVENUE).cast(MONEY)).alias("rev_sum")))
+                       F.sum(N.c(N.TOTAL_REVENUE).cast("double")).alias("rev_sum")))

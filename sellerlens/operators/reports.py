@@ -4,8 +4,8 @@ Conventions, kept in every report:
 
 * sorts put nulls last in both directions and end with the group key as a
   tie-breaker, so results are deterministic;
-* money is summed as ``DECIMAL(18,2)`` (exact, independent of row order and
-  partitioning) and returned as DOUBLE;
+* money is summed as DOUBLE, whatever its size and number of decimals; the
+  last digits may depend on the order of addition;
 * the join reports count and sum over the many-to-many join exactly as
   ``orders JOIN income`` would (an order with two entries counts twice),
   but are computed from per-order partial results (see ``plans.joins``).
@@ -17,11 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sellerlens import names as N
-from sellerlens.functions.text import money_text
-from sellerlens.operators.income import MONEY
+from sellerlens.functions.text import money_text, sku_category
 from sellerlens.plans.joins import join_entries, lines_per_order, order_income
 
 c = N.c
@@ -33,24 +31,8 @@ def _is(col: str, value: str) -> Column:
 
 
 def money_sum(col: str) -> Column:
-    """Exact sum of money as DECIMAL(18,2) per value, returned as DOUBLE."""
-    return F.sum(c(col).cast("double").cast(MONEY)).cast("double")
-
-
-RATE = T.DecimalType(38, 9)
-
-
-def exact_mean(col: str) -> Column:
-    """Plain mean of a DOUBLE column with an exact, order-independent sum.
-
-    Values are summed as DECIMAL(38,9), so the result does not depend on
-    how rows are split into tasks; if any value is NaN or infinite the
-    ordinary floating-point mean is returned instead.
-    """
-    x = c(col)
-    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    exact = F.sum(x.cast(RATE)).cast("double") / F.count(x)
-    return F.when(F.bool_or(~finite), F.avg(x)).otherwise(exact)
+    """Sum of money as DOUBLE."""
+    return F.sum(c(col).cast("double"))
 
 
 # ---------------------------------------------------------------- page load
@@ -89,9 +71,8 @@ def sku_summary(orders: DataFrame) -> DataFrame:
 def sku_monthly(orders: DataFrame) -> DataFrame:
     """Q3: Q2 per (month, SKU category); month ascending, units descending."""
     cat = c(N.SKU_CATEGORY)
-    month = F.date_format(c(N.CREATED_TS), "yyyy-MM")
     return (orders.where(cat.isNotNull())
-                  .groupBy(month.alias(N.MONTH_VN), cat.alias(N.PRODUCT_KIND))
+                  .groupBy(c(N.ORDER_MONTH).alias(N.MONTH_VN), cat.alias(N.PRODUCT_KIND))
                   .agg(F.sum(c(N.QUANTITY)).alias(N.TOTAL_QUANTITY),
                        F.sum(_is(N.ORDER_STATUS, N.STATUS_COMPLETED)).alias(N.COMPLETED_ORDERS))
                   .orderBy(F.asc_nulls_last(c(N.MONTH_VN)), F.desc_nulls_last(N.TOTAL_QUANTITY),
@@ -118,8 +99,7 @@ def income_by_month_text(income: DataFrame) -> DataFrame:
 def traffic_by_month(overview: DataFrame, lenient: bool = False) -> DataFrame:
     """Q5: page views and store visits summed, conversion averaged per month.
 
-    The average is the plain mean of the daily rates (not weighted), summed
-    exactly (see ``exact_mean``). The day is cast to DATE; a day text that
+    The average is the plain mean of the daily rates (not weighted). The day is cast to DATE; a day text that
     is not a date fails the job, as the SQL cast does, unless ``lenient``
     (then it counts under a null month).
     """
@@ -128,7 +108,7 @@ def traffic_by_month(overview: DataFrame, lenient: bool = False) -> DataFrame:
     return (overview.groupBy(month.alias(N.MONTH_VN))
                     .agg(F.sum(c(N.PAGE_VIEWS)).alias(N.PAGE_VIEWS),
                          F.sum(c(N.STORE_VISITS)).alias(N.STORE_VISITS),
-                         exact_mean(N.CONVERSION).alias(N.CONVERSION))
+                         F.avg(c(N.CONVERSION)).alias(N.CONVERSION))
                     .orderBy(F.asc_nulls_last(c(N.MONTH_VN))))
 
 
@@ -162,27 +142,32 @@ ADJUSTMENT_COLUMNS = [N.ORDER_ID, N.TYPE, N.ORDER_STATUS, N.SKU_CATEGORY, N.QUAN
 
 def adjustments(orders: DataFrame, income: DataFrame) -> DataFrame:
     """Q8: joined rows of compensated orders whose entry type is not 'Order'
-    (a null type is dropped here, by SQL comparison), newest first."""
-    j = order_income(orders, income)
-    keep = (c(N.ORDER_TYPE) == F.lit(N.COMPENSATION)) & (c(N.TYPE) != F.lit(N.TYPE_ORDER))
-    return (j.where(keep)
+    (a null type is dropped here, by SQL comparison), newest first.
+
+    An entry with another type makes its own order a compensation, so the
+    type test implies the label and the classification is not needed.
+    """
+    other = income.where(c(N.TYPE) != F.lit(N.TYPE_ORDER))
+    return (order_income(orders, other)
              .orderBy(F.desc_nulls_last(c(N.CREATED_TS)), F.asc_nulls_last(c(N.ORDER_ID)))
              .select(*[c(x) for x in ADJUSTMENT_COLUMNS]))
 
 
 def _joined_group_report(orders: DataFrame, income: DataFrame, keys: Sequence[str],
-                         returned_as_rate: bool) -> DataFrame:
+                         returned_as_rate: bool, also: str | None = None) -> DataFrame:
     ret = _is(N.RETURN_TYPE, N.RETURN_REFUND)
     j = join_entries(lines_per_order(orders, keys, {"n_ret": ret}), income)
     joined_rows = F.col("n_lines") * F.col("n_inc")
     returned_rows = F.col("n_ret") * F.col("n_inc")
     returned = (F.sum(returned_rows) / F.sum(joined_rows) if returned_as_rate
                 else F.sum(returned_rows))
-    return (j.groupBy(*[c(k).alias(k) for k in keys])
+    out = (j.groupBy(*[c(k).alias(k) for k in keys])
              .agg(F.count(F.lit(1)).alias(N.N_ORDERS),
-                  F.sum(F.col("n_lines") * F.col("rev_sum")).cast("double").alias(N.REVENUE),
-                  returned.alias(N.RETURN_RATE if returned_as_rate else N.N_RETURNED))
-             .orderBy(F.desc_nulls_last(c(N.REVENUE)), *[F.asc_nulls_last(c(k)) for k in keys]))
+                  F.sum(F.col("n_lines") * F.col("rev_sum")).alias(N.REVENUE),
+                  returned.alias(N.RETURN_RATE if returned_as_rate else N.N_RETURNED)))
+    if also is not None:
+        out = out.withColumn(also, sku_category(c(N.SELLER_SKU)))
+    return out.orderBy(F.desc_nulls_last(c(N.REVENUE)), *[F.asc_nulls_last(c(k)) for k in keys])
 
 
 def region_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
@@ -193,9 +178,15 @@ def region_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
 
 def product_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
     """Q10: per (product, seller SKU, category): distinct orders, revenue
-    over the join, joined rows that are returns."""
-    return _joined_group_report(orders, income, [N.PRODUCT_NAME, N.SELLER_SKU, N.SKU_CATEGORY],
-                                returned_as_rate=False)
+    over the join, joined rows that are returns.
+
+    The category is a function of the seller SKU (cleaning derives it), so it
+    is computed for the result rows and stays out of the shuffled keys.
+    """
+    out = _joined_group_report(orders, income, [N.PRODUCT_NAME, N.SELLER_SKU], returned_as_rate=False,
+                               also=N.SKU_CATEGORY)
+    return out.select(*[c(x) for x in (N.PRODUCT_NAME, N.SELLER_SKU, N.SKU_CATEGORY, N.N_ORDERS,
+                                       N.REVENUE, N.N_RETURNED)])
 
 
 def with_money_text(df: DataFrame, columns: Sequence[str] = (N.REVENUE,)) -> DataFrame:
@@ -205,9 +196,8 @@ def with_money_text(df: DataFrame, columns: Sequence[str] = (N.REVENUE,)) -> Dat
 
 def error_by_month(orders: DataFrame) -> DataFrame:
     """Q11: order lines with substatus 'Error Order' per month."""
-    month = F.date_format(c(N.CREATED_TS).cast("date"), "yyyy-MM")
     return (orders.where(c(N.ORDER_SUBSTATUS) == F.lit(N.SUBSTATUS_ERROR))
-                  .groupBy(month.alias(N.MONTH_VN))
+                  .groupBy(c(N.ORDER_MONTH).alias(N.MONTH_VN))
                   .agg(F.count(F.lit(1)).alias(N.N_ERRORS))
                   .orderBy(F.asc_nulls_last(c(N.MONTH_VN))))
 

@@ -5,8 +5,9 @@ the cleaning and classification in DuckDB SQL (window functions, regex
 folds, a VALUES dictionary join: deliberately a different formulation from
 the Spark code) and then runs the report. Conventions shared with the Spark
 side: sums of BIGINT are cast back to BIGINT (DuckDB widens them to
-HUGEINT), money is summed as DECIMAL(18,2) and returned as DOUBLE, sorts
-put nulls last and end with the group key.
+HUGEINT), sums of DOUBLE are rounded to 4 decimals (amounts have at most
+three, so the order of addition cannot show), sorts put nulls last and end
+with the group key.
 """
 
 from __future__ import annotations
@@ -56,6 +57,13 @@ def d_sku(x: str) -> str:
 CREATED_FMT = "'%d/%m/%Y %H:%M:%S'"
 SETTLED_FMT = "'%Y/%m/%d'"
 
+
+def d_created(x: str) -> str:
+    """Parsed time; outside the years a pandas timestamp can hold, null."""
+    t = f"try_strptime({x}, {CREATED_FMT})"
+    return f"CASE WHEN {t} BETWEEN TIMESTAMP '1677-09-21 00:12:44' AND TIMESTAMP '2262-04-11 23:47:16' THEN {t} END"
+
+
 _PROVINCE_VALUES = ",\n  ".join(f"({lit(k)}, {lit(v)})" for k, v in M.PROVINCE_MAP.items())
 _ORDER_RAW = [q(x) for x in N.ORDER_COLUMNS]
 _ORDERS_OUT = ",\n  ".join(
@@ -64,8 +72,8 @@ _ORDERS_OUT = ",\n  ".join(
       (d_country(q(x)) + " AS " + q(x) if x == N.COUNTRY else "o1." + q(x)))
      for x in N.ORDER_COLUMNS]
     + [f"{d_sku(q(N.SELLER_SKU))} AS {q(N.SKU_CATEGORY)}",
-       f"try_strptime({d_clean(q(N.CREATED_TIME))}, {CREATED_FMT}) AS {q(N.CREATED_TS)}",
-       f"strftime(try_strptime({d_clean(q(N.CREATED_TIME))}, {CREATED_FMT}), '%Y-%m') AS {q(N.ORDER_MONTH)}"])
+       f"{d_created(d_clean(q(N.CREATED_TIME)))} AS {q(N.CREATED_TS)}",
+       f"strftime({d_created(d_clean(q(N.CREATED_TIME)))}, '%Y-%m') AS {q(N.ORDER_MONTH)}"])
 
 RID, ADJ, TYP = q(N.RELATED_ORDER_ID), q(N.ADJUSTMENT_ID), q(N.TYPE)
 _COMP_ROW = (f"(coalesce(starts_with(CAST({ADJ} AS VARCHAR), '7'), false) "
@@ -109,7 +117,7 @@ def _with(body: str) -> str:
 
 
 def _money(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"ROUND(SUM({x}), 4)"
 
 
 def _money_text(x: str) -> str:
@@ -138,12 +146,12 @@ _Q1 = f"""SELECT strftime({q(N.CREATED_TS)}, '%Y-%m') AS {q(N.ORDER_MONTH)},
 FROM c_orders GROUP BY 1 ORDER BY 1 NULLS LAST"""
 
 _Q2 = f"""SELECT {q(N.SKU_CATEGORY)},
-  CAST(SUM({q(N.QUANTITY)}) AS BIGINT) AS {q(N.SUM_QTY)},
+  SUM({q(N.QUANTITY)}) AS {q(N.SUM_QTY)},
   CAST(SUM(CASE WHEN {q(N.ORDER_STATUS)} = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS {q(N.COMPLETED_LINES)}
 FROM c_orders WHERE {q(N.SKU_CATEGORY)} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1"""
 
 _Q3 = f"""SELECT strftime({q(N.CREATED_TS)}, '%Y-%m') AS {q(N.MONTH_VN)}, {q(N.SKU_CATEGORY)} AS {q(N.PRODUCT_KIND)},
-  CAST(SUM({q(N.QUANTITY)}) AS BIGINT) AS {q(N.TOTAL_QUANTITY)},
+  SUM({q(N.QUANTITY)}) AS {q(N.TOTAL_QUANTITY)},
   CAST(SUM(CASE WHEN {q(N.ORDER_STATUS)} = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS {q(N.COMPLETED_ORDERS)}
 FROM c_orders WHERE {q(N.SKU_CATEGORY)} IS NOT NULL GROUP BY 1, 2 ORDER BY 1 NULLS LAST, 3 DESC NULLS LAST, 2"""
 
@@ -154,7 +162,7 @@ FROM c_income GROUP BY 1 ORDER BY 1 NULLS LAST"""
 _Q5 = f"""SELECT strftime(CAST({q(N.DAY)} AS DATE), '%Y-%m') AS {q(N.MONTH_VN)},
   CAST(SUM({q(N.PAGE_VIEWS)}) AS BIGINT) AS {q(N.PAGE_VIEWS)},
   CAST(SUM({q(N.STORE_VISITS)}) AS BIGINT) AS {q(N.STORE_VISITS)},
-  CAST(SUM(CAST({q(N.CONVERSION)} AS DECIMAL(38,9))) AS DOUBLE) / COUNT({q(N.CONVERSION)}) AS {q(N.CONVERSION)}
+  ROUND(AVG({q(N.CONVERSION)}), 9) AS {q(N.CONVERSION)}
 FROM mkt_overview GROUP BY 1 ORDER BY 1 NULLS LAST"""
 
 
@@ -170,7 +178,7 @@ ORDER BY {q(N.CREATED_TS)} DESC NULLS LAST, {q(N.ORDER_ID)}"""
 
 _Q9 = f"""SELECT {q(N.PROVINCE)}, COUNT(DISTINCT {q(N.ORDER_ID)}) AS {q(N.N_ORDERS)},
   {_money(q(N.TOTAL_REVENUE))} AS {q(N.REVENUE)},
-  AVG(CASE WHEN {q(N.RETURN_TYPE)} = 'Return/Refund' THEN 1 ELSE 0 END) AS {q(N.RETURN_RATE)}
+  ROUND(AVG(CASE WHEN {q(N.RETURN_TYPE)} = 'Return/Refund' THEN 1 ELSE 0 END), 4) AS {q(N.RETURN_RATE)}
 FROM joined GROUP BY 1 ORDER BY 3 DESC NULLS LAST, 1 NULLS LAST"""
 
 _Q10 = f"""SELECT {q(N.PRODUCT_NAME)}, {q(N.SELLER_SKU)}, {q(N.SKU_CATEGORY)},
@@ -236,7 +244,7 @@ def _queries() -> dict[str, str]:
         "sku_category": _with(_pairs(q(N.SELLER_SKU), d_sku(q(N.SELLER_SKU)), "mkt_orders")),
         "rewrite_rules": _with(_pairs(q(N.SELLER_SKU), d_sku(q(N.SELLER_SKU)), "mkt_orders")),
         "created_ts": _with(_pairs(d_clean(q(N.CREATED_TIME)),
-                                   f"try_strptime({d_clean(q(N.CREATED_TIME))}, {CREATED_FMT})",
+                                   d_created(d_clean(q(N.CREATED_TIME))),
                                    "mkt_orders")),
         "order_month": _with(f"SELECT DISTINCT {q(N.CREATED_TS)} AS raw, {q(N.ORDER_MONTH)} AS cleaned FROM c_orders"),
         "clean_orders": _with("SELECT * FROM c_orders"),
@@ -286,7 +294,25 @@ UNION ALL SELECT 'sku', COUNT(*) FROM joined WHERE {q(N.SKU_ID)} = {lit(S['sku_i
 UNION ALL SELECT 'buyer', COUNT(*) FROM joined WHERE {q(N.BUYER)} = {lit(S['buyer'])}"""),
         # ad hoc SQL and CSV
         "adhoc_sql": _with(_Q3),
-        "csv_roundtrip": _with(_Q4),
+        # an empty text and a null are both an empty field
+        "csv_roundtrip": _with("SELECT " + ", ".join(
+            f"nullif({q(x)}, '') AS {q(x)}" if x not in (N.QUANTITY, N.CREATED_TS) else q(x)
+            for x in [*N.ORDER_COLUMNS, N.SKU_CATEGORY, N.CREATED_TS, N.ORDER_MONTH]) + " FROM c_orders"),
+        "adhoc_orders_by_month": _with(
+            f"SELECT {q(N.ORDER_MONTH)}, {q(N.N_ORDERS)} AS n_orders, {q(N.N_CANCELED)} AS n_canceled, "
+            f"{q(N.N_COMPLETED)} AS n_completed FROM ({_Q1})"),
+        "adhoc_income_by_month": _with(
+            f"SELECT {q(N.MONTH)} AS Month, {q(N.REVENUE)} AS revenue, {q(N.NET_REVENUE)} AS net FROM ({_Q4})"),
+        "adhoc_traffic": _with(
+            f"SELECT {q(N.MONTH_VN)} AS Month, {q(N.PAGE_VIEWS)} AS views, {q(N.CONVERSION)} AS conversion FROM ({_Q5})"),
+        "adhoc_errors": _with(
+            f"SELECT strftime({q(N.CREATED_TS)}, 'Tháng %m/%Y (%b)') AS Month, COUNT(*) AS errors "
+            f"FROM c_orders WHERE {q(N.ORDER_SUBSTATUS)} = 'Error Order' GROUP BY 1"),
+        "rewrite_rules_general": _with(_pairs(
+            q(N.SELLER_SKU),
+            f"regexp_replace(regexp_replace(regexp_replace({q(N.SELLER_SKU)}, '^SC_X(\\d)$', 'SC-\\1x\\1'), "
+            "'^SC-(\\d)x(\\d)$', '\\2-of-\\1 $'), '(?i)^bthp([_-])(.*)$', 'B\\1\\2')", "mkt_orders")),
+        "money_text": _with(_pairs(q(N.SETTLEMENT), _money_text(q(N.SETTLEMENT)), "mkt_income")),
         # chart frames
         "chart_orders_long": _with(_unpivot(_Q1, N.ORDER_MONTH, [N.N_ORDERS, N.N_COMPLETED, N.N_CANCELED])),
         "chart_income_long": _with(_unpivot(_Q4, N.MONTH, [N.REVENUE, N.NET_REVENUE])),

@@ -48,7 +48,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 def _is_local(spark: SparkSession) -> bool:
     try:
-        return spark.sparkContext.master.startswith("local")
+        m = spark.sparkContext.master
+        return m == "local" or m.startswith("local[")
     except Exception:  # pragma: no cover - Spark Connect has no SparkContext
         return False
 

@@ -1,7 +1,7 @@
 """CSV output (SNK-1), written in parallel by the executors.
 
 Options follow a pandas ``to_csv(index=False)``: header row, comma,
-quotes only where needed, a quote inside a field doubled (``""``), null
+quotes only where needed, spaces at the ends of a text kept, a quote inside a field doubled (``""``), null
 and empty text both written as an empty field, UTF-8, ``\\n`` line ends,
 timestamps as ``yyyy-MM-dd HH:mm:ss``. Remaining differences: booleans
 print ``true``/``false``, large doubles ``1.0E20``.
@@ -21,6 +21,8 @@ CSV_OPTIONS = {
     "emptyValue": "",
     "encoding": "UTF-8",
     "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
     "timestampFormat": "yyyy-MM-dd HH:mm:ss",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
     "dateFormat": "yyyy-MM-dd",
@@ -33,6 +35,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read CSV written by :func:`write_csv` back with a known schema."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Read CSV written by :func:`write_csv` back with a known schema.
+
+    ``multi_line`` reads fields that hold line breaks; a file is then one
+    task, so large data should be in many files.
+    """
+    return spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).schema(schema).csv(path)

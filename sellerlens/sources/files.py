@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from sellerlens import names as N
 
 # Declared input types. IDs are read as text (never as floating point).
+# ``NumericType`` keeps whatever numeric type the file has (text becomes DOUBLE).
 ORDERS_TYPES: dict[str, T.DataType] = {
     **{c: T.StringType() for c in N.ORDER_COLUMNS},
-    N.QUANTITY: T.LongType(),
+    N.QUANTITY: T.NumericType(),
 }
 INCOME_TYPES: dict[str, T.DataType] = {
     N.ADJUSTMENT_ID: T.StringType(),
@@ -34,8 +35,8 @@ INCOME_TYPES: dict[str, T.DataType] = {
 }
 OVERVIEW_TYPES: dict[str, T.DataType] = {
     N.DAY: T.StringType(),
-    N.PAGE_VIEWS: T.LongType(),
-    N.STORE_VISITS: T.LongType(),
+    N.PAGE_VIEWS: T.NumericType(),
+    N.STORE_VISITS: T.NumericType(),
     N.CONVERSION: T.DoubleType(),
 }
 
@@ -49,6 +50,23 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+IDS = (N.ORDER_ID, N.SKU_ID, N.ADJUSTMENT_ID, N.RELATED_ORDER_ID)
+
+
+def refuse_floating_ids(df: DataFrame, ids=IDS) -> None:
+    """Raise for ID columns of a floating-point type: their digits are lost."""
+    bad = [f.name for f in df.schema if f.name in ids and isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    if bad:
+        raise ValueError(f"IDs of floating-point type: {bad}")
+
+
+def _cast(have: T.DataType, want: T.DataType) -> T.DataType | None:
+    """Type to cast to, None to keep the column."""
+    if type(want) is T.NumericType:
+        return None if isinstance(have, T.NumericType) else T.DoubleType()
+    return None if have == want else want
+
+
 def conform(df: DataFrame, types: dict[str, T.DataType], strip: bool = True,
             keep_extra: bool = True) -> DataFrame:
     """Strip headers, check the required columns, cast them to ``types``.
@@ -60,8 +78,9 @@ def conform(df: DataFrame, types: dict[str, T.DataType], strip: bool = True,
     missing = [c for c in types if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    casts = {k: N.c(k).cast(t) for k, t in types.items()
-             if df.schema[k].dataType != t}
+    refuse_floating_ids(df)
+    wanted = {k: _cast(df.schema[k].dataType, t) for k, t in types.items()}
+    casts = {k: N.c(k).cast(t) for k, t in wanted.items() if t is not None}
     df = df.withColumns(casts) if casts else df
     return df if keep_extra else df.select(*[N.c(k) for k in types])
 

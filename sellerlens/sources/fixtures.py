@@ -75,6 +75,8 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         _order_id(okey, "5").alias(N.ORDER_ID),
         F.when(okey % 97 == 0, F.lit("N/A"))
+         .when(okey % 103 == 0, F.lit("01/01/1500 00:00:00"))
+         .when(okey % 83 == 0, F.date_format(odate, "d/M/yyyy H:m:s"))
          .otherwise(F.concat(F.lit("\t"), fmt(odate), F.lit(" "))).alias(N.CREATED_TIME),
         F.concat(fmt(_days(odate, 1)), F.lit("\n")).alias(N.PAID_TIME),
         F.concat(fmt(_days(odate, 2)), F.lit("\t")).alias(N.RTS_TIME),
@@ -90,8 +92,9 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(FIXTURE_SKUS, F.col("l_partkey")).alias(N.SELLER_SKU),
         F.col("l_partkey").cast("string").alias(N.SKU_ID),
         F.col("p_name").alias(N.PRODUCT_NAME),
-        F.col("l_quantity").cast("bigint").alias(N.QUANTITY),
+        (F.col("l_quantity").cast("double") + F.when(F.col("l_partkey") % 10 == 0, 0.5).otherwise(0.0)).alias(N.QUANTITY),
         F.when(F.col("c_custkey") % 50 == 0, F.lit(None).cast("string"))
+         .when(F.col("c_custkey") % 41 == 0, F.concat(F.lit("  "), F.col("c_name"), F.lit('\n"Jr", ')))
          .otherwise(F.col("c_name")).alias(N.BUYER),
         _pick(FIXTURE_PROVINCES, F.col("c_nationkey")).alias(N.PROVINCE),
         _pick(FIXTURE_COUNTRIES, F.col("c_custkey")).alias(N.COUNTRY),
@@ -99,29 +102,34 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settlement entries: one per order (some twice), plus adjustments."""
+    """Settlement entries: one per order (some twice), plus adjustments.
+
+    One scan: every order gives an array of its entries. Amounts have up to
+    three decimals, some IDs are null.
+    """
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    okey, price, odate = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
-    fee = F.round(price * 0.08, 2)
+    okey, odate = F.col("o_orderkey"), F.col("o_orderdate")
+    price = F.col("o_totalprice") + (okey % 8) * F.lit(0.001)
+    fee = F.round(F.col("o_totalprice") * 0.08, 2)
 
-    def entries(cond: Column, lead: str, typ, revenue: Column, settle_days: int) -> DataFrame:
+    def entry(cond: Column, lead: str, typ, revenue: Column, settle_days: int) -> Column:
         settled = (F.when(okey % 89 == 0, F.lit("/"))
                     .otherwise(F.date_format(_days(odate, settle_days), "yyyy/MM/dd")))
-        return od.where(cond).select(
-            _order_id(okey, lead).alias(N.ADJUSTMENT_ID),
-            _order_id(okey, "5").alias(N.RELATED_ORDER_ID),
+        return F.when(cond, F.struct(
+            F.when(okey % 73 != 0, _order_id(okey, lead)).alias(N.ADJUSTMENT_ID),
+            F.when(okey % 71 != 0, _order_id(okey, "5")).alias(N.RELATED_ORDER_ID),
             F.lit(typ).cast("string").alias(N.TYPE),
             revenue.alias(N.TOTAL_REVENUE),
             (-fee).alias(N.TOTAL_FEES),
-            F.round(revenue - fee, 2).alias(N.SETTLEMENT),
-            settled.alias(N.SETTLED_TIME),
-        )
+            (revenue - fee).alias(N.SETTLEMENT),
+            settled.alias(N.SETTLED_TIME)))
 
     zero = F.lit(0.0)
-    return (entries(okey % 17 != 0, "5", "Order", price, 7)
-            .unionAll(entries(okey % 13 == 0, "5", "Order", price, 7))
-            .unionAll(entries(okey % 11 == 0, "7", "Logistics reimbursement", zero, 21))
-            .unionAll(entries(okey % 101 == 0, "7", None, zero, 30)))
+    entries = F.array(entry(okey % 17 != 0, "5", "Order", price, 7),
+                      entry(okey % 13 == 0, "5", "Order", price, 7),
+                      entry(okey % 11 == 0, "7", "Logistics reimbursement", zero, 21),
+                      entry(okey % 101 == 0, "7", None, zero, 30))
+    return od.select(F.inline(F.filter(entries, lambda e: e.isNotNull())))
 
 
 def fixture_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +173,9 @@ def materialize(spark: SparkSession, sf_dir: str) -> FixturePaths:
         base = scratch_path(spark, "fixtures")
         paths = FixturePaths(f"{base}/orders.parquet", f"{base}/income.parquet",
                              f"{base}/overview.parquet")
-        # Several part files per table, as a large export has: every later
-        # scan then starts with one task per file instead of one in total.
-        parts = max(1, spark.sparkContext.defaultParallelism)
-        fixture_orders(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(paths.orders)
-        fixture_income(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(paths.income)
+        # Files of even size, as many as the data needs.
+        fixture_orders(spark, sf_dir).hint("rebalance").write.mode("overwrite").parquet(paths.orders)
+        fixture_income(spark, sf_dir).hint("rebalance").write.mode("overwrite").parquet(paths.income)
         fixture_overview(spark, sf_dir).write.mode("overwrite").parquet(paths.overview)
         _written[key] = paths
         return paths
@@ -186,7 +192,7 @@ def _duck_list(values: list) -> str:
 
 DUCK_ORDERS = f"""
 SELECT concat('5', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) AS "Order ID",
- CASE WHEN o_orderkey % 97 = 0 THEN 'N/A' ELSE concat(CAST(chr(9) AS VARCHAR), strftime(o_orderdate,'%d/%m/%Y %H:%M:%S'), ' ') END AS "Created Time",
+ CASE WHEN o_orderkey % 97 = 0 THEN 'N/A' WHEN o_orderkey % 103 = 0 THEN '01/01/1500 00:00:00' WHEN o_orderkey % 83 = 0 THEN strftime(o_orderdate,'%-d/%-m/%Y %-H:%-M:%-S') ELSE concat(CAST(chr(9) AS VARCHAR), strftime(o_orderdate,'%d/%m/%Y %H:%M:%S'), ' ') END AS "Created Time",
  concat(strftime((o_orderdate + to_days(1)),'%d/%m/%Y %H:%M:%S'), CAST(chr(10) AS VARCHAR)) AS "Paid Time",
  concat(strftime((o_orderdate + to_days(2)),'%d/%m/%Y %H:%M:%S'), CAST(chr(9) AS VARCHAR)) AS "RTS Time",
  concat(strftime((o_orderdate + to_days(3)),'%d/%m/%Y %H:%M:%S'), CAST(chr(10) AS VARCHAR)) AS "Shipped Time",
@@ -197,23 +203,24 @@ SELECT concat('5', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) AS "Order ID",
  CASE l_returnflag WHEN 'R' THEN 'Return/Refund' WHEN 'A' THEN 'Cancel' END AS "Cancelation/Return Type",
  list_extract({_duck_list(FIXTURE_SKUS)}, CAST(l_partkey % 15 AS INT)+1) AS "Seller SKU",
  CAST(l_partkey AS VARCHAR) AS "SKU ID", p_name AS "Product Name",
- CAST(l_quantity AS BIGINT) AS "Quantity", CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_name END AS "Buyer Username",
+ CAST(l_quantity AS DOUBLE) + CASE WHEN l_partkey % 10 = 0 THEN 0.5e0 ELSE 0e0 END AS "Quantity",
+ CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN concat('  ', c_name, chr(10), '"Jr", ') ELSE c_name END AS "Buyer Username",
  list_extract({_duck_list(FIXTURE_PROVINCES)}, CAST(c_nationkey % 16 AS INT)+1) AS "Province",
  list_extract({_duck_list(FIXTURE_COUNTRIES)}, CAST(c_custkey % 5 AS INT)+1) AS "Country"
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN part ON l_partkey=p_partkey
 """
 
 _DUCK_INCOME_PART = """
-SELECT concat('{lead}', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) AS "Order/adjustment ID",
- concat('5', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) AS "Related order ID", {typ} AS "Type",
+SELECT CASE WHEN o_orderkey % 73 <> 0 THEN concat('{lead}', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) END AS "Order/adjustment ID",
+ CASE WHEN o_orderkey % 71 <> 0 THEN concat('5', lpad(CAST(o_orderkey AS VARCHAR),17,'0')) END AS "Related order ID", {typ} AS "Type",
  {rev} AS "Total revenue", -round(o_totalprice*0.08,2) AS "Total fees",
- round({rev}-round(o_totalprice*0.08,2),2) AS "Total settlement amount",
+ {rev}-round(o_totalprice*0.08,2) AS "Total settlement amount",
  CASE WHEN o_orderkey % 89 = 0 THEN '/' ELSE strftime((o_orderdate + to_days({days})),'%Y/%m/%d') END AS "Order settled time"
  FROM orders WHERE {cond}"""
 
 DUCK_INCOME = "\nUNION ALL\n".join([
-    _DUCK_INCOME_PART.format(lead="5", typ="'Order'", rev="o_totalprice", days=7, cond="o_orderkey % 17 <> 0"),
-    _DUCK_INCOME_PART.format(lead="5", typ="'Order'", rev="o_totalprice", days=7, cond="o_orderkey % 13 = 0"),
+    _DUCK_INCOME_PART.format(lead="5", typ="'Order'", rev="(o_totalprice + (o_orderkey % 8) * 0.001e0)", days=7, cond="o_orderkey % 17 <> 0"),
+    _DUCK_INCOME_PART.format(lead="5", typ="'Order'", rev="(o_totalprice + (o_orderkey % 8) * 0.001e0)", days=7, cond="o_orderkey % 13 = 0"),
     _DUCK_INCOME_PART.format(lead="7", typ="'Logistics reimbursement'", rev="0.0e0", days=21, cond="o_orderkey % 11 = 0"),
     _DUCK_INCOME_PART.format(lead="7", typ="CAST(NULL AS VARCHAR)", rev="0.0e0", days=30, cond="o_orderkey % 101 = 0"),
 ])

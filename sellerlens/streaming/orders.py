@@ -19,15 +19,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sellerlens import names as N
 from sellerlens.operators.cleaning import clean_orders
-from sellerlens.session import scratch_path
 from sellerlens.sources.files import ORDERS_TYPES, conform
 
-ORDERS_SCHEMA = T.StructType([T.StructField(k, t, True) for k, t in ORDERS_TYPES.items()])
-
-
-def stream_clean_orders(spark: SparkSession, source_dir: str, schema: T.StructType = ORDERS_SCHEMA,
+def stream_clean_orders(spark: SparkSession, source_dir: str, schema: T.StructType | None = None,
                         fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame of cleaned order lines from files in ``source_dir``."""
+    """A streaming DataFrame of cleaned order lines from files in ``source_dir``.
+
+    Without a ``schema`` the files already there give it (a quantity keeps
+    its type); pass one to start on an empty folder."""
+    if schema is None:
+        schema = spark.read.format(fmt).load(source_dir).schema
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -35,14 +36,18 @@ def stream_clean_orders(spark: SparkSession, source_dir: str, schema: T.StructTy
 
 
 def start_clean_orders(spark: SparkSession, source_dir: str, target_dir: str,
-                       checkpoint_dir: str | None = None, available_now: bool = True,
+                       checkpoint_dir: str, available_now: bool = True,
                        interval: str = "1 minute") -> StreamingQuery:
     """Start the incremental cleaning; ``available_now`` processes what is
-    there and stops, otherwise it runs every ``interval``."""
-    ckpt = checkpoint_dir or scratch_path(spark, "stream-checkpoints")
+    there and stops, otherwise it runs every ``interval``.
+
+    ``checkpoint_dir`` (on shared storage) belongs to the target: every start
+    must be given the same one, or new files would be taken for batches the
+    target already has.
+    """
     writer = (stream_clean_orders(spark, source_dir).writeStream
               .format("parquet")
-              .option("checkpointLocation", ckpt)
+              .option("checkpointLocation", checkpoint_dir)
               .partitionBy(N.ORDER_MONTH)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

@@ -122,3 +122,13 @@ def test_unused_labels_are_pruned(spark):
 def test_income_by_order(spark):
     got = sorted(rows(I.income_by_order(entries(spark, EDGE)), "_rid", "n_inc"))
     assert ("52", 2) in got and ("56", 2) in got and all(r[0] is not None for r in got)
+
+
+def test_money_is_summed_as_it_is(spark):
+    """Small, huge and infinite amounts."""
+    for amounts, want in (([0.004] * 1000, 4.0), ([1e17, 1.0], 1e17), ([float("inf"), 5.0], float("inf"))):
+        raw = spark.createDataFrame([("5", "1", "Order", a, 0.0, a, "2024/02/01") for a in amounts],
+                                    "`Order/adjustment ID` string, `Related order ID` string, `Type` string, `Total revenue` double, "
+                                    "`Total fees` double, `Total settlement amount` double, `Order settled time` string")
+        got = rows(R.income_by_month(I.classify_income(raw)))[0][1]
+        assert got == want or abs(got - want) < 1e-6 * max(1.0, abs(want)) if want != float("inf") else got == want

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from scripts.check_oracle import canon, duck
+from sellerlens.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
 
@@ -17,7 +18,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     got = E.queries()[name](spark, SF_SMALL).toPandas()
     want = con.execute(E.oracle_sql()[name]).fetchdf()

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from sellerlens import names as N
 from sellerlens.operators import adhoc, search
 from sellerlens.session import scratch_path
@@ -40,6 +42,9 @@ def test_city_search_case_and_wildcards(spark):
     assert search.has_matches(search.find_by_city(o, i, "nẵng"))
 
 
+DDL = {"string": "string", "double": "double"}
+
+
 def test_match_counts(spark):
     o, i = make(spark, LINES, ENTRIES)
     got = dict(rows(search.match_counts(o, i, "1", "hà", "1", "b1")))
@@ -58,7 +63,7 @@ def _write_tables(spark):
                                   "`Type` string, `Total revenue` double, `Total fees` double, "
                                   "`Total settlement amount` double, `Order settled time` string")
     raw_v = spark.createDataFrame([("2024-02-01", 3, 2, 0.5)],
-                                  ", ".join(f"`{k}` {t.simpleString()}" for k, t in OVERVIEW_TYPES.items()))
+                                  ", ".join(f"`{k}` {DDL.get(t.typeName(), 'bigint')}" for k, t in OVERVIEW_TYPES.items()))
     base = scratch_path(spark, "test-tables")
     for name, df in [("orders", raw_o), ("income", raw_i), ("overview", raw_v)]:
         df.write.parquet(f"{base}/{name}.parquet")
@@ -123,7 +128,7 @@ def test_adhoc_sql_dialect_and_params(spark):
 def test_persist_and_views(spark):
     o, i = make(spark, LINES, ENTRIES)
     ov = spark.createDataFrame([("2024-02-01", 3, 2, 0.5)],
-                               ", ".join(f"`{k}` {t.simpleString()}" for k, t in OVERVIEW_TYPES.items()))
+                               ", ".join(f"`{k}` {DDL.get(t.typeName(), 'bigint')}" for k, t in OVERVIEW_TYPES.items()))
     t = Tables(o, i, ov).persist()
     try:
         assert t.orders.storageLevel.useDisk and t.income.is_cached
@@ -137,16 +142,46 @@ def test_persist_and_views(spark):
     assert not t.orders.is_cached
 
 
-def test_searches_with_entries_equal_without(spark):
+def test_order_search_with_entries_equals_without(spark):
     from tests.test_reports import INCOME_SCHEMA
     o, i = make(spark, LINES, ENTRIES)
     e = spark.createDataFrame(ENTRIES, INCOME_SCHEMA)
-    pairs = [
-        (search.find_by_order(o, i, "1"), search.find_by_order(o, i, "1", e)),
-        (search.find_by_city(o, i, "hà"), search.find_by_city(o, i, "hà", entries=e)),
-        (search.find_by_sku(o, i, "1"), search.find_by_sku(o, i, "1", e)),
-        (search.find_by_buyer(o, i, "b1"), search.find_by_buyer(o, i, "b1", e)),
-    ]
-    for plain, narrowed in pairs:
-        assert plain.columns == narrowed.columns
-        assert sorted(rows(plain), key=repr) == sorted(rows(narrowed), key=repr)
+    plain, narrowed = search.find_by_order(o, i, "1"), search.find_by_order(o, i, "1", e)
+    assert plain.columns == narrowed.columns
+    assert sorted(rows(plain), key=repr) == sorted(rows(narrowed), key=repr)
+
+
+def test_csv_keeps_spaces_and_line_breaks(spark):
+    df = spark.createDataFrame([(" Bình Thuận", "x "), ("  ", 'a\n"b", '), ("plain", "\ttab")], "a string, b string")
+    path = write_csv(df, scratch_path(spark, "test-csv"))
+    assert sorted(rows(read_csv(spark, path, df.schema, multi_line=True))) == sorted(rows(df))
+
+
+@pytest.mark.parametrize("fmt, want", [
+    ("%y", "24"), ("Thang %m", "Thang 02"), ("%Y-%m-%d %H:%M:%S", "2024-02-05 03:04:09"), ("%-d/%-m", "5/2"),
+    ("%b %B %a %A", "Feb February Mon Monday"), ("%j|%u|%w|%%", "036|1|1|%"), ("it's yyyy %f", "it's yyyy 000000")])
+def test_strftime_in_both_orders(spark, fmt, want):
+    session = adhoc.sql_session(spark, lambda s: Tables(*(s.range(1) for _ in range(3))))
+    t = "TIMESTAMP_NTZ'2024-02-05 03:04:09'"
+    got = adhoc.run_sql(session, f"SELECT strftime({t}, :f) AS a, strftime(:f, {t}) AS b", {"f": fmt}).first()
+    assert tuple(got) == (want, want)
+
+
+def test_strftime_dates_nulls_and_unknown_codes(spark):
+    session = adhoc.sql_session(spark, lambda s: Tables(*(s.range(1) for _ in range(3))))
+    got = adhoc.run_sql(session, "SELECT strftime('%Y-%m', DATE'2024-02-05') AS a, strftime(CAST(NULL AS DATE), '%Y') AS b").first()
+    assert tuple(got) == ("2024-02", None)
+    for bad in ("%Q", "%"):
+        with pytest.raises(Exception, match="unknown code"):
+            adhoc.run_sql(session, "SELECT strftime(:f, DATE'2024-02-05') AS a", {"f": "x" + bad}).collect()
+
+
+def test_quantities_keep_their_type_and_floating_ids_are_refused(spark):
+    from sellerlens.sources.files import ORDERS_TYPES, conform
+    cols = ", ".join(f"`{k}` {'double' if k == N.QUANTITY else 'string'}" for k in N.ORDER_COLUMNS)
+    row = tuple(1.5 if k == N.QUANTITY else "1" for k in N.ORDER_COLUMNS)
+    df = conform(spark.createDataFrame([row], cols), ORDERS_TYPES)
+    assert rows(df, N.QUANTITY) == [(1.5,)]
+    bad = spark.createDataFrame([row], cols).withColumn(N.ORDER_ID, N.c(N.QUANTITY))
+    with pytest.raises(ValueError, match="floating"):
+        conform(bad, ORDERS_TYPES)

@@ -6,6 +6,7 @@ Expected values are typed by hand from the stated semantics.
 import datetime as dt
 import sys
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -147,3 +148,25 @@ def test_fold_end_anchor_follows_python(spark):
     # Python's $ matches only before one final \n
     assert apply(spark, fold, vals) == ["SC-450g\n", "SC_X1\r", "SC_X1\r\n", "SC_X1 "]
     assert apply(spark, fold, vals) == apply(spark, T.sku_category, vals)
+
+
+def test_null_as_and_general_rules(spark):
+    from sellerlens.functions import mapping as MM
+    from sellerlens.functions import text as TT
+    df = spark.createDataFrame([(None,), (" a\t",)], "x string")
+    assert [r[0] for r in df.select(TT.clean_text("x", null_as="None")).collect()] == ["None", "a"]
+    one = spark.createDataFrame([("ab12",)], "x string")
+    rules = [(r"^([a-z])([a-z])(\d+)$", r"\g<2>\g<1>0-\3$"), (r"^ba0", r"\\")]
+    assert one.select(MM.rewrite_rules(F.col("x"), rules)).first()[0] == "\\-12$"
+    for bad in ([(r"(?P<n>a)", "x")], [("a", r"\g<n>")], [("a", r"\q")]):
+        with pytest.raises(ValueError):
+            one.select(MM.rewrite_rules(F.col("x"), bad))
+
+
+def test_dictionary_counts_and_samples():
+    """Typed by hand, independent of the oracle's use of the same module."""
+    from sellerlens.functions import mapping as MM
+    assert len(MM.PROVINCE_MAP) == 103 and len(MM.SKU_RULES) == 17
+    assert MM.PROVINCE_MAP["Lang Son"] == "Lạng Sơn" and MM.PROVINCE_MAP["Can Tho City"] == "Cần Thơ"
+    assert MM.PROVINCE_MAP["Provinz Dak Lak"] == "Đắk Lắk" and MM.COUNTRY_TARGET == "Việt Nam"
+    assert MM.rules_to_lookup(MM.SKU_RULES)["SC_X1"] == "SC-450g"
