@@ -48,8 +48,3 @@ def sku_share(orders: DataFrame) -> DataFrame:
 def chart_traffic(overview: DataFrame) -> DataFrame:
     """V-5: page views (bars) and store visits (line) per month."""
     return R.traffic_by_month(overview).select(c(N.MONTH_VN), c(N.PAGE_VIEWS), c(N.STORE_VISITS))
-
-
-def sku_monthly_series(orders: DataFrame) -> DataFrame:
-    """V-4: one bar series per category and month = Q3 as it is (long form)."""
-    return R.sku_monthly(orders)
