@@ -163,8 +163,9 @@ def prefixes(documents: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _products(entries: DataFrame) -> DataFrame:
-    """The blocked product. Rows (g, a, na, b, nb): pairs from short columns,
-    and entries of long columns with b null."""
+    """The blocked product. Rows (g, a, na, b, nb): pairs from short columns;
+    entries of long columns with b null; with g null, too, entries of short
+    columns (of two documents or more)."""
     def pairs(g, d, n, at, size):
         out = []
         for k in range(2, SMALL + 1):
@@ -185,10 +186,11 @@ def _products(entries: DataFrame) -> DataFrame:
         return pd.arrays.IntegerArray(np.concatenate([v, np.zeros(k, np.int64)]),
                                       np.concatenate([np.zeros(len(v), bool), np.ones(k, bool)]))
 
-    def frame(p, rest):
-        k = rest.shape[1]
-        return pd.DataFrame({"g": np.concatenate([p[0], rest[0]]), "a": np.concatenate([p[1], rest[1]]),
-                             "na": np.concatenate([p[2], rest[2]]), "b": half(p[3], k), "nb": half(p[4], k)})
+    def frame(p, rest, shared):
+        k, m = rest.shape[1], shared.shape[1]
+        known = np.concatenate([p[0], rest[0]])
+        return pd.DataFrame({"g": half(known, m), "a": np.concatenate([p[1], rest[1], shared[1]]),
+                             "na": np.concatenate([p[2], rest[2], shared[2]]), "b": half(p[3], k + m), "nb": half(p[4], k + m)})
 
     def f(batches):
         held = np.empty((3, 0), np.int64)      # the last column so far
@@ -216,12 +218,13 @@ def _products(entries: DataFrame) -> DataFrame:
                 held = held[:, :0]
             else:
                 open_long = None
-            if p.shape[1] or rest.shape[1]:
-                yield frame(p, rest)
+            shared = body[:, np.repeat(~long & (size > 1), size)]
+            if shared.shape[1] or rest.shape[1]:
+                yield frame(p, rest, shared)
         if held.shape[1] > 1:
             k = held.shape[1]
             p = pairs(held[0], held[1], held[2], np.array([0]), np.array([k]))
-            yield frame(p, held[:, :0])
+            yield frame(p, held[:, :0], held)
 
     return (entries.repartition("g").sortWithinPartitions("g")
             .mapInPandas(f, "g long, a long, na long, b long, nb long"))
@@ -278,9 +281,13 @@ def join(documents: DataFrame) -> DataFrame:
                  .where("doc_id <> rep").select("doc_id", "rep").distinct(), "member")
     apart = whole.join(small_side(member.select("doc_id").distinct()), "doc_id", "left_anti")
     found = cut(_products(apart.select(F.explode("rare").alias("g"), "doc_id", "n")), "products")
-    rest = cut(found.where("b IS NULL").select("g", F.col("a").alias("doc_id"), F.col("na").alias("n"))
+    rest = cut(found.where("b IS NULL AND g IS NOT NULL").select("g", F.col("a").alias("doc_id"), F.col("na").alias("n"))
                .unionByName(apart.select(F.explode("often").alias("g"), "doc_id", "n")), "columns")
     open_ = rest.groupBy("doc_id").agg(F.count("*").alias("r"))
+    # t: first columns of a document that others may have, too.
+    shared = (found.where("b IS NULL AND g IS NULL").select(F.col("a").alias("doc_id"))
+              .unionByName(rest.select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("t")))
+    rest = cut(rest.join(shared, "doc_id"), "columns")
     counted = cut(found.where("b IS NOT NULL").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")), "counted")
 
     def possible(pairs, overlap):
@@ -300,11 +307,14 @@ def join(documents: DataFrame) -> DataFrame:
     roots = components(links)
     for turn in range(STARS + 1):
         at = rest.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "g", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+            "g", "doc_id", "n", "t", F.coalesce("root", "doc_id").alias("root"))
+        # The first leader is the document with the least of its own, as an
+        # original among its copies has; later ones go by hash.
+        own = (F.col("n") - _remaining(F.col("n")) - F.col("t")) / F.col("n") if turn == 0 else F.lit(0.0)
         heads = at.groupBy("g").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("h"), "doc_id", "n", "root")).alias("head"))
-        mixed = cut(at.join(heads.where("lo < hi"), "g").select("g", "doc_id", "n", "root", "head"), "mixed")
+            F.min(F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "doc_id").alias("h"), "doc_id", "n", "root")).alias("head"))
+        mixed = cut(at.join(heads.where("lo < hi"), "g").select("g", "doc_id", "n", "t", "root", "head"), "mixed")
         if mixed.isEmpty():
             break
         if turn < STARS:
@@ -315,10 +325,10 @@ def join(documents: DataFrame) -> DataFrame:
             x = x.where("4 * least(na, nb) >= 3 * greatest(na, nb)").distinct()
             x = with_open(x.join(counted.select("a", "b", "c"), ["a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0))))
         else:
-            l = mixed.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            r = mixed.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            x = (l.join(r, "g").where("a < b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
-                 .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c2")))
+            l = mixed.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("t").alias("ta"), F.col("root").alias("ra"))
+            r = mixed.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"), F.col("root").alias("rb"))
+            x = l.join(r, "g").where("a < b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
+            x = possible(x, F.least("ta", "tb")).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c2"))
             x = x.join(counted.select("a", "b", "c"), ["a", "b"], "left")
             x = possible(x, F.col("c2") + F.coalesce("c", F.lit(0)))
         fresh = cut(x.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
