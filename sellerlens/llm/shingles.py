@@ -43,6 +43,7 @@ SMALL = 8                 # documents of a column that gives all its pairs
 COMMON_ROWS = 200_000     # common n-grams that are told to every task
 CHUNK = 4_000_000         # n-grams counted together in the search for common ones
 STARS = 3                 # rounds of leaders before the remaining pairs
+FIRST = 16                # columns of a document that tell where a pair is formed
 REMEMBERED = 300_000      # word hashes kept by one Python worker
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -325,11 +326,21 @@ def join(documents: DataFrame) -> DataFrame:
             x = x.where("4 * least(na, nb) >= 3 * greatest(na, nb)").distinct()
             x = with_open(x.join(counted.select("a", "b", "c"), ["a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0))))
         else:
-            l = mixed.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("t").alias("ta"), F.col("root").alias("ra"))
-            r = mixed.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"), F.col("root").alias("rb"))
-            x = l.join(r, "g").where("a < b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
-            x = possible(x, F.least("ta", "tb")).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c2"))
-            x = x.join(counted.select("a", "b", "c"), ["a", "b"], "left")
+            # A pair is formed in the first column both have, as far as each
+            # document's first FIRST columns tell, not once for each column.
+            first = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("g")), 1, FIRST).alias("f"))
+            each = cut(mixed.select("g", "doc_id", "n", "t", "root").join(first, "doc_id"), "each")
+            l, r = (each.select("g", *[F.col(c).alias(c + s) for c in ("doc_id", "n", "t", "root", "f")]) for s in "ab")
+            x = l.join(r, "g").where(
+                "doc_ida < doc_idb AND roota <> rootb AND 4 * least(na, nb) >= 3 * greatest(na, nb)"
+                " AND coalesce(array_min(array_intersect(fa, fb)) >= g, true)")
+            x = possible(x, F.least("ta", "tb")).select(F.col("doc_ida").alias("a"), "na", F.col("doc_idb").alias("b"), "nb").distinct()
+            # The overlap in all long columns, from each document's own list.
+            own = rest.groupBy("doc_id").agg(F.collect_set("g").alias("gs"))
+            x = (x.join(own.select(F.col("doc_id").alias("a"), F.col("gs").alias("ga")), "a")
+                 .join(own.select(F.col("doc_id").alias("b"), F.col("gs").alias("gb")), "b")
+                 .select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("c2"))
+                 .join(counted.select("a", "b", "c"), ["a", "b"], "left"))
             x = possible(x, F.col("c2") + F.coalesce("c", F.lit(0)))
         fresh = cut(x.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = cut(tested.unionByName(fresh), "tested")
