@@ -30,10 +30,15 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(id, root) of every vertex that is not its component's smallest, from
     edges (a, b) over any ordered type. Loops and repeated edges do no harm."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
-    before = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            return e.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
-        before = now
+    while not _flat(e):
         e = cut(_rewire(e), name)
+    return e.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+
+
+def _flat(e: DataFrame) -> bool:
+    """Does every vertex hang on one other at most, which hangs on none?"""
+    up, down = F.lit(1).alias("up"), F.lit(0).alias("down")
+    ends = e.select(F.col("hi").alias("v"), up, down).unionByName(
+        e.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where("up > 1 OR (up = 1 AND down = 1)").isEmpty())
