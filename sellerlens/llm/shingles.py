@@ -41,7 +41,7 @@ from sellerlens.llm.work import cut, small_side
 WORDS = 5                 # words of a shingle
 SMALL = 8                 # documents of a column that gives all its pairs
 COMMON_ROWS = 200_000     # common n-grams that are told to every task
-CHUNK = 4_000_000         # n-grams counted together in the search for common ones
+CHUNK = 2_000_000         # n-grams counted together in the search for common ones
 STARS = 3                 # rounds of leaders before the remaining pairs
 FIRST = 16                # columns of a document that tell where a pair is formed
 REMEMBERED = 300_000      # word hashes kept by one Python worker
