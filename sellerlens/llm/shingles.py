@@ -44,7 +44,7 @@ COMMON_ROWS = 200_000     # common n-grams that are told to every task
 CHUNK = 2_000_000         # n-grams counted together in the search for common ones
 STARS = 3                 # rounds of leaders before the remaining pairs
 FIRST = 16                # columns of a document that tell where a pair is formed
-REMEMBERED = 300_000      # word hashes kept by one Python worker
+REMEMBERED = 200_000      # word hashes kept by one Python worker
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                  0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
