@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sellerlens.llm.work import ship
+
 FIT_ROWS = 8_000      # labelled rows that are learned from, at most
 WINDOW = 256          # bytes of a window
 WIDTHS = (2, 3, 4)
@@ -194,7 +196,7 @@ def predict_texts(net: ByteNet | None, texts) -> list[tuple[str, float]]:
 def predict(documents: DataFrame, net: ByteNet | None) -> DataFrame:
     """All columns of ``documents`` with lang_pred and score added (replacing
     columns of these names)."""
-    told = documents.sparkSession.sparkContext.broadcast(net)  # fixed size
+    told = ship(documents).sparkSession.sparkContext.broadcast(net)  # fixed size
     extra = "lang_pred string, score double"
 
     @F.pandas_udf(f"struct<{extra.replace(' string', ':string').replace(' double', ':double')}>")

@@ -28,6 +28,8 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from sellerlens.llm.work import ship
+
 SPACE = "▁"
 REMEMBERED = 300_000   # encoded parts kept by one Python worker
 LONGEST_KEPT = 64      # characters of a part that is kept
@@ -261,7 +263,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return ship(documents).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
@@ -286,7 +288,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"],
                                 "text": [t.decode([] if x is None else list(x)) for x in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(f, "doc_id long, text string")
+    return ship(encoded).select("doc_id", "ids").mapInPandas(f, "doc_id long, text string")
 
 
 def digests(documents: DataFrame, model_path: str) -> DataFrame:

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sellerlens.llm.langid import held_out
+from sellerlens.llm.work import ship
 
 FIT_ROWS = 8_000
 FIT_CHARS = 3_000
@@ -162,7 +163,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer
 
 def score(documents: DataFrame, scorer: Scorer | None, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    told = documents.sparkSession.sparkContext.broadcast(scorer)  # VOCABULARY rows at most
+    told = ship(documents).sparkSession.sparkContext.broadcast(scorer)  # VOCABULARY rows at most
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sellerlens.llm.components import components
-from sellerlens.llm.work import cut, small_side
+from sellerlens.llm.work import cut, ship, small_side
 
 WORDS = 5                 # words of a shingle
 SMALL = 8                 # documents of a column that gives all its pairs
@@ -88,7 +88,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), "text")
+    return ship(documents).select(F.col("doc_id").cast("long"), "text")
 
 
 def common_shingles(documents: DataFrame) -> np.ndarray:
@@ -114,7 +114,7 @@ def common_shingles(documents: DataFrame) -> np.ndarray:
         n = np.diff(np.append(at, len(s)))
         return pd.DataFrame({"g": s[at[n >= 3]].view(np.int64), "n": n[n >= 3].astype(np.int64)})
 
-    c = (documents.select("text").mapInPandas(count, "g long, n long")
+    c = (ship(documents).select("text").mapInPandas(count, "g long, n long")
          .groupBy("g").agg(F.sum("n").alias("n")).where("n >= 8")
          .orderBy(F.desc("n"), "g").limit(COMMON_ROWS))
     got = np.array([r[0] for r in c.select("g").collect()], np.int64)
@@ -227,7 +227,7 @@ def _products(entries: DataFrame) -> DataFrame:
             p = pairs(held[0], held[1], held[2], np.array([0]), np.array([k]))
             yield frame(p, held[:, :0], held)
 
-    return (entries.repartition("g").sortWithinPartitions("g")
+    return (ship(entries).repartition("g").sortWithinPartitions("g")
             .mapInPandas(f, "g long, a long, na long, b long, nb long"))
 
 

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sellerlens.session import scratch_path
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Let the Python workers import this package from where the driver has
+    it (the same path, as in local mode or on a shared file system; elsewhere
+    the package is passed with ``--py-files``). Returns ``df``."""
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (*paths, ROOT) if p)
+    return df
+
+
 def cut(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
