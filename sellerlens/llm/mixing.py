@@ -35,8 +35,8 @@ NULL = "\x00"
 # A topic is the first whose pattern the text has; others are prose.
 TOPICS: tuple[tuple[str, str], ...] = (
     ("license", r"(?i)\b(copyright|licen[sc]e[ds]?|all rights reserved)\b"),
-    ("contact", r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d() -]{8,}\d"),
-    ("markup", r"[#*$%&|<>]{3}|( \| .*){3}"),
+    ("contact", r"\w@[\w-]+\.\w|\d[\d() -]{8,}\d"),
+    ("markup", r"[#*$%&|<>]{3}| \| [^|]{1,60} \| "),
 )
 
 
