@@ -180,3 +180,17 @@ def test_sql_oracles(spark, name):
 
 def test_operators_register_ten_queries():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("length", [1000.0, 1e200])
+def test_neighbours_beside_a_very_long_vector(spark, length):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(1500, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] *= length
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = ann.nearest(docs).toPandas()
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    hit = [len(set(out[out.query_id == q].vec_id) & set(np.argsort(-s[q])[:20])) for q in range(0, 1500, 20)]
+    assert sum(hit) / (20 * len(hit)) >= 0.95
