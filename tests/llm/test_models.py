@@ -194,3 +194,15 @@ def test_neighbours_beside_a_very_long_vector(spark, length):
     np.fill_diagonal(s, -np.inf)
     hit = [len(set(out[out.query_id == q].vec_id) & set(np.argsort(-s[q])[:20])) for q in range(0, 1500, 20)]
     assert sum(hit) / (20 * len(hit)) >= 0.95
+
+
+def test_search_expands_every_node_of_the_beam(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BEAM", 30)
+    monkeypatch.setattr(ann, "EXPAND", 2)
+    assert ann.beam_size(10_000) == 30 and ann.beam_size(1_000_000) == 300
+    n = 300                                               # a ring: the way to the far side has many steps
+    ring = spark.createDataFrame([(i, (i + 1) % n, 1.0) for i in range(n)], "id long, other long, sim double")
+    v = np.column_stack([np.arange(n) + 1.0, np.ones(n)])
+    nodes = ann.cut(ann._encode(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")), "n")
+    found = ann.search(ring, nodes, spark.createDataFrame([(260,)], "id long"), n).toPandas()
+    assert set(range(275, 300)) <= set(found.other)
