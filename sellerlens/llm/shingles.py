@@ -279,8 +279,9 @@ def join(documents: DataFrame) -> DataFrame:
     whole = sets.where("doc_id IS NOT NULL AND n > 0")
     classes = cut(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     member = cut(whole.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
-                 .where("doc_id <> rep").select("doc_id", "rep").distinct(), "member")
-    apart = whole.join(small_side(member.select("doc_id").distinct()), "doc_id", "left_anti")
+                 .where("doc_id <> rep").distinct(), "member")
+    # A document stays with those of its texts that stand for their class.
+    apart = whole.join(small_side(member.select("doc_id", "k1", "k2")), ["doc_id", "k1", "k2"], "left_anti")
     found = cut(_products(apart.select(F.explode("rare").alias("g"), "doc_id", "n")), "products")
     rest = cut(found.where("b IS NULL AND g IS NOT NULL").select("g", F.col("a").alias("doc_id"), F.col("na").alias("n"))
                .unionByName(apart.select(F.explode("often").alias("g"), "doc_id", "n")), "columns")

@@ -92,3 +92,10 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
     none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     assert components(none).count() == 0
+
+
+def test_other_text_of_a_copy_still_links(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(3, x), (5, x), (5, y), (9, y + " more")]
+    got = sorted((tuple(r) for r in shingles.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows) and {c for _, _, c in got} == {3}
