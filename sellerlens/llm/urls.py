@@ -2,7 +2,7 @@
 
 The tree is built per host, one path segment deeper at a time. Segments that
 look like identifiers become ``*`` at once; where a node still has many
-children they become ``*`` too; children whose share of rejected labelled
+children, the unlabelled and similar ones become ``*`` too; children whose share of rejected labelled
 pages does not differ significantly from their siblings' are merged into one
 branch. A template is rejected when its labelled purity, smoothed towards its
 host's and the host's towards the whole table's, reaches a threshold.
@@ -45,8 +45,8 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class TreeParams:
-    max_depth: int = 12        # segments beyond share the branch "**"
-    max_children: int = 24     # a node with more children has a variable segment
+    max_depth: int = 12        # beyond, segments share "**" unless their labels differ
+    max_children: int = 24     # a node with more children merges unlabelled ones, too
     z: float = 1.96            # branches differing by less are merged
     prior: float = 4.0         # labelled pages the host's purity counts for
     threshold: float = 0.5     # rejected share at which a template is rejected
@@ -69,23 +69,24 @@ def match_rules(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _shape(path: Column, p: TreeParams) -> Column:
+def _shape(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(VARIABLE)), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) <= p.max_depth, parts).otherwise(
-        F.concat(F.slice(parts, 1, p.max_depth), F.array(F.lit("**"))))
+    return F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(VARIABLE)), F.lit("*")).otherwise(s))
 
 
 def build_tree(shapes: DataFrame, p: TreeParams) -> DataFrame:
     """From rows (host, shape, n, labelled, bad) to (host, shape, template).
 
     One level per step: each step aggregates the children of every node and
-    decides which keep their name.
+    decides which keep their name. From ``max_depth`` on only nodes whose
+    pages have both labels go on; the others end in "**".
     """
     depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    t = shapes.withColumn("template", F.lit(""))
+    t = shapes.withColumn("template", F.lit("")).withColumn("ended", F.lit(False))
     for d in range(depth):
-        here = t.withColumn("seg", F.get("shape", F.lit(d)))
+        if d > p.max_depth and t.where(~F.col("ended") & (F.size("shape") > d)).isEmpty():
+            break
+        here = t.withColumn("seg", F.when(~F.col("ended"), F.get("shape", F.lit(d))))
         kids = (here.where("seg IS NOT NULL").groupBy("host", "template", "seg")
                 .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
         nodes = (kids.groupBy("host", "template")
@@ -95,15 +96,17 @@ def build_tree(shapes: DataFrame, p: TreeParams) -> DataFrame:
         own = F.col("bad") / F.greatest("labelled", F.lit(1))
         spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.greatest("labelled", F.lit(1)))
         similar = (F.col("labelled") == 0) | (F.abs(own - rate) <= p.z * spread)
-        merged = ((F.col("children") > p.max_children) | (F.col("seg") == "*")
-                  | ((F.col("children") > 1) & (F.col("all_labelled") > 0) & similar))
-        name = F.when(merged, F.lit("*")).otherwise(F.col("seg"))
+        many = (F.col("children") > p.max_children) | ((F.col("children") > 1) & (F.col("all_labelled") > 0))
+        name = F.when((F.col("seg") == "*") | (many & similar), F.lit("*")).otherwise(F.col("seg"))
+        ends = F.lit(d >= p.max_depth) & ((F.col("all_bad") == 0) | (F.col("all_bad") == F.col("all_labelled")))
+        name = F.when(ends, F.lit("**")).otherwise(name)
         named = (kids.join(nodes, ["host", "template"])
-                 .select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("next")))
+                 .select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("next"), ends.alias("ends")))
         t = (here.join(named, ["host", "template", "seg"], "left")
-             .select("host", "shape", "n", "labelled", "bad", F.coalesce("next", "template").alias("template")))
+             .select("host", "shape", "n", "labelled", "bad", F.coalesce("next", "template").alias("template"),
+                     (F.col("ended") | F.coalesce("ends", F.lit(False))).alias("ended")))
         t = cut(t, "tree")
-    return t
+    return t.drop("ended")
 
 
 def judge(pages: DataFrame, rules, labels: DataFrame | None = None, params: TreeParams = TreeParams()) -> DataFrame:
@@ -114,7 +117,7 @@ def judge(pages: DataFrame, rules, labels: DataFrame | None = None, params: Tree
     host, path = split_url(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    p = p.select("*", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("path"), params).alias("shape"))
+    p = p.select("*", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("path")).alias("shape"))
     if labels is None:
         marked = p.withColumn("bad", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     else:

@@ -50,3 +50,14 @@ def test_many_children_become_a_wildcard(spark):
 
 def test_empty(spark):
     assert urls.judge(frame(spark, []), URL_RULES).count() == 0
+
+
+def test_differing_sections_survive_many_children_and_depth(spark):
+    sections = [f"s{chr(97 + i)}x" for i in range(26)]
+    given = [f"http://s.net/{s}/{i}" for s in sections for i in range(20)]
+    deep = "/".join(f"d{chr(97 + i)}x" for i in range(15))
+    given += [f"http://t.net/{deep}/{s}/{i}" for s in ("good", "bad") for i in range(20)]
+    bad = [int("/sax/" in u or "/bad/" in u) for u in given]
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad) if i % 2], "page_id long, bad int")
+    out = {r.page_id: r.verdict for r in urls.judge(frame(spark, given), [], labels).collect()}
+    assert [out[i] == "block" for i in range(len(given))] == [bool(b) for b in bad]
