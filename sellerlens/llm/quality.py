@@ -8,8 +8,10 @@ is trained on these in numpy and its scores are calibrated by a temperature
 fitted on rows set apart.
 
 Learning uses a bounded, hash-ordered sample of labelled rows (``FIT_ROWS``
-rows, ``FIT_CHARS`` characters at a hashed place of each) and at most
-``VOCABULARY`` words, so what is broadcast has a fixed size. Scoring reads
+rows) and at most ``VOCABULARY`` words, so what is broadcast has a fixed size.
+Word vectors come from ``FIT_CHARS`` characters at a hashed place of each row;
+network and temperature from their whole texts, pooled in tasks as in scoring,
+of which only the features go to the driver. Scoring reads
 every whole text, task by task, without any shuffle.
 
 Defined cases: null and empty texts pool to zeros and get the network's score
@@ -141,9 +143,24 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def features(documents: DataFrame, chosen: DataFrame, words: WordVectors, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled whole texts and labels of ``rows`` chosen rows, in hash order."""
+    told = ship(documents).sparkSession.sparkContext.broadcast(words)  # VOCABULARY rows at most
+
+    @F.pandas_udf("array<float>")
+    def pool(text: pd.Series) -> pd.Series:
+        return pd.Series([told.value.pool(t) for t in text])
+
+    got = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+           .select("h", "doc_id", "quality", pool("text").alias("x"))
+           .orderBy("h", "doc_id", "x").limit(rows).collect())     # 134 numbers a row
+    return (np.array([r["x"] for r in got], np.float32), np.array([1.0 if r["quality"] else 0.0 for r in got]))
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer | None:
     """Learn from labelled rows that are not held out, the first ``rows`` in
-    hash order, ``FIT_CHARS`` characters of each."""
+    hash order: words from ``FIT_CHARS`` characters of each, the network from
+    whole texts."""
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     chosen = (known.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), "doc_id", "quality")
@@ -156,9 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer
     if not got:
         return None
     words = WordVectors([r["text"] for r in got])
-    x = np.stack([words.pool(r["text"]) for r in got])
-    y = np.array([1.0 if r["quality"] else 0.0 for r in got])
-    return Scorer(words, x, y)
+    return Scorer(words, *features(documents, chosen, words, rows))
 
 
 def score(documents: DataFrame, scorer: Scorer | None, threshold: float = 0.7) -> DataFrame:

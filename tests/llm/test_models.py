@@ -206,3 +206,19 @@ def test_search_expands_every_node_of_the_beam(spark, monkeypatch):
     nodes = ann.cut(ann._encode(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")), "n")
     found = ann.search(ring, nodes, spark.createDataFrame([(260,)], "id long"), n).toPandas()
     assert set(range(275, 300)) <= set(found.other)
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    seen = {}
+
+    class Kept(quality.Scorer):
+        def __init__(self, words, x, y):
+            seen.update(words=words, x=x, y=y)
+
+    monkeypatch.setattr(quality, "Scorer", Kept)
+    rows = [(i, " ".join(f"w{k % 97}" for k in range(50 if i % 2 else 5000))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    long, short = (seen["words"].pool(rows[i][1]) for i in (0, 1))
+    assert set(seen["y"]) == {0.0, 1.0}
+    assert all(np.allclose(x, short if y else long, atol=1e-6) for x, y in zip(seen["x"], seen["y"]))
