@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sellerlens.llm import ann, chat, langid, lines, mixing, pieces, quality, rules, shingles, urls
+from sellerlens.llm import (ann, chat, codes, langid, lines, mixing, packing, pieces, quality, rules,
+                            shingles, urls, whiten)
 from sellerlens.llm.work import table
 
-# Vocabulary files are a parameter: this one is given by its installed package.
+# Vocabulary files are a parameter: these are given by their installed package.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +89,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_source_mixing": op2_source_mixing,
@@ -98,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,5 +168,28 @@ SELECT conv_id, count(*) AS n_turns,
                 WHEN role = 'assistant' THEN before = 'user' ELSE false END)
     AND max(CASE WHEN back = 1 THEN role END) = 'assistant' AS valid
 FROM p GROUP BY conv_id
+""",
+    "op11_vector_codes": r"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT rid, unnest(v) AS x, unnest(range(len(v))) AS nr, len(v) // 16 AS size FROM k),
+u AS MATERIALIZED (SELECT rid, nr // size AS part, nr % size AS pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM w),
+b0 AS (SELECT part, rid AS entry, pos, x FROM u WHERE rid < 64),
+a0 AS MATERIALIZED (SELECT rid, part, min(e * 64 + entry) AS m
+       FROM (SELECT rid, part, entry, sum((u.x - b.x) * (u.x - b.x)) AS e FROM u JOIN b0 AS b USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+m0 AS (SELECT part, m % 64 AS entry, pos, sum(x) AS s, count(*) AS c FROM a0 JOIN u USING (rid, part) GROUP BY ALL),
+b1 AS MATERIALIZED (SELECT part, entry, pos, coalesce(CAST((s - (s % c + c) % c) // c AS BIGINT), x) AS x FROM b0 LEFT JOIN m0 USING (part, entry, pos)),
+a1 AS MATERIALIZED (SELECT rid, part, min(e * 64 + entry) AS m
+       FROM (SELECT rid, part, entry, sum((u.x - b.x) * (u.x - b.x)) AS e FROM u JOIN b1 AS b USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+m1 AS (SELECT part, m % 64 AS entry, pos, sum(x) AS s, count(*) AS c FROM a1 JOIN u USING (rid, part) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT part, entry, pos, coalesce(CAST((s - (s % c + c) % c) // c AS BIGINT), x) AS x FROM b1 LEFT JOIN m1 USING (part, entry, pos)),
+a2 AS MATERIALIZED (SELECT rid, part, min(e * 64 + entry) AS m
+       FROM (SELECT rid, part, entry, sum((u.x - b.x) * (u.x - b.x)) AS e FROM u JOIN b2 AS b USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT rid, string_agg(printf('%02x', CAST(m % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error
+      FROM a2 GROUP BY rid),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (rid) GROUP BY label)
+SELECT k.vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256
+FROM f JOIN k USING (rid) JOIN l ON k.label IS NOT DISTINCT FROM l.label
 """,
 }

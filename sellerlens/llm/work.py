@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from sellerlens.session import scratch_path
 
@@ -39,11 +40,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Rows (of two or three numbers) up to which a join side is broadcast.
+# Size up to which a join side is broadcast: rows, and bytes of their values.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(field) -> Column:
+    """Bytes of a column's value, strings and arrays as long as they are."""
+    c, t = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(t, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(t, ArrayType):
+        return 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Has ``df`` at most ``rows`` rows and BROADCAST_BYTES bytes? ``df``
+    should be a written table: it is counted."""
+    size = sum((_bytes(f) for f in df.schema), F.lit(0).cast("long"))
+    n, held = df.agg(F.count("*"), F.sum(size)).first()
+    return n <= rows and (held or 0) <= BROADCAST_BYTES
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it
-    is (a shuffled join). ``df`` should be a written table: it is counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """``df`` marked for broadcast if it is small, else as it is (a shuffled
+    join)."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+# A key with more than one row in so many is hot.
+HOT_SHARE = 1000
+
+
+def add_unique(big: DataFrame, side: DataFrame, key: str, count: str) -> DataFrame:
+    """``big`` with the columns of ``side`` (one row a key, written, with the
+    number of rows of ``big`` in column ``count``) added by ``key``; null keys
+    match. Hot keys are ``HOT_SHARE`` at most and are broadcast; the others are
+    joined by a shuffle, unless all of ``side`` is small."""
+    side = side.withColumnRenamed(key, "__side_key")
+    same = F.col(key).eqNullSafe(F.col("__side_key"))
+    if is_small(side):
+        return big.join(F.broadcast(side), same, "left").drop("__side_key")
+    least = (side.agg(F.sum(count)).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(side.where(F.col(count) > least))
+    rest = big.join(hot.select("__side_key"), same, "left_anti").join(side.where(F.col(count) <= least), same, "left")
+    return big.join(hot, same, "inner").unionByName(rest).drop("__side_key")
