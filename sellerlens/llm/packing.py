@@ -287,8 +287,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                                              [*names, task, own])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    # Written, so that a piece keeps its number whatever task is repeated.
-    numbered = cut(ship(pieces).mapInArrow(number, f"{kinds}, {task} int, {own} long"), "pieces")
+    # Written first, so that a task has one Python worker at a time, and then
+    # with its number, which a piece keeps whatever task is repeated.
+    numbered = cut(ship(cut(pieces, "pieces")).mapInArrow(number, f"{kinds}, {task} int, {own} long"), "numbered")
     counts = cut(numbered.groupBy(task, "length").agg(F.count("*").alias("n")), "piece-counts")
     whole = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():       # ``capacity`` rows at most
