@@ -9,15 +9,16 @@ fitted on rows set apart.
 
 Learning uses a bounded, hash-ordered sample of labelled rows (``FIT_ROWS``
 rows) and at most ``VOCABULARY`` words, so what is broadcast has a fixed size.
-Word vectors come from ``FIT_CHARS`` characters at a hashed place of each row;
-network and temperature from their whole texts, pooled in tasks as in scoring,
-of which only the features go to the driver. Scoring reads
+Words are counted, neighbours added up and texts pooled in tasks over the whole
+texts of that sample; the driver gets the words, their sums and the features.
+Scoring reads
 every whole text, task by task, without any shuffle.
 
 Defined cases: null and empty texts pool to zeros and get the network's score
 for that; with no labels to learn from every score is 0.5; repeated rows are
 scored each; several labels of a document give their largest; a null doc_id is
-never learned from; extra columns stay out; an empty table gives no rows.
+never learned from and not held out (its ``held_out`` is false); extra columns
+stay out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sellerlens.llm.langid import held_out
-from sellerlens.llm.work import ship
+from sellerlens.llm.work import cut, ship
 
 FIT_ROWS = 8_000
-FIT_CHARS = 3_000
 VOCABULARY = 50_000
 LEAST = 3              # occurrences that make a word known
+LONGEST = 64           # characters of a word that can be known
 DIM = 64
 HIDDEN = 32
 REACH = 2              # neighbours on either side
@@ -57,24 +58,47 @@ def index_vectors(words: list[str], dim: int = DIM, ones: int = 6) -> np.ndarray
     return out
 
 
+def with_others(index: np.ndarray) -> np.ndarray:
+    """Index vectors with the zero row of the other words before them."""
+    return np.concatenate([np.zeros((1, index.shape[1]), index.dtype), index])
+
+
+def context_sums(texts, ids: dict[str, int], index: np.ndarray, total: np.ndarray) -> None:
+    """Add the index vectors of each word's neighbours to its row of ``total``,
+    ``PIECE`` tokens at a time."""
+    for text in texts:
+        flat, known = [], 0                    # the first ``known`` tokens met their neighbours before
+        for w in TOKEN.finditer(text or ""):
+            flat.append(ids.get(w.group(), 0))
+            if len(flat) == PIECE:
+                _add_context(np.array(flat), known, index, total)
+                flat, known = flat[-REACH:], REACH
+        _add_context(np.array(flat, np.int64), known, index, total)
+
+
+def _add_context(flat: np.ndarray, known: int, index: np.ndarray, total: np.ndarray) -> None:
+    for step in range(1, REACH + 1):
+        at = max(known, step)
+        left, right = flat[at - step:max(len(flat) - step, 0)], flat[at:]
+        for here, there in ((left, right), (right, left)):
+            some = np.flatnonzero(there)
+            if not len(some):
+                continue
+            some = some[np.argsort(here[some], kind="stable")]
+            h = here[some]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            total[h[first]] += np.add.reduceat(index[there[some]], first, axis=0)
+
+
 class WordVectors:
     """Vectors of the known words; row 0 stands for all others."""
 
-    def __init__(self, texts: list[str]):
-        tokens = [TOKEN.findall(t) for t in texts]
-        seen = Counter(w for t in tokens for w in t)
-        known = sorted((w for w, n in seen.items() if n >= LEAST), key=lambda w: (-seen[w], w))[:VOCABULARY]
+    def __init__(self, known: list[str], total: np.ndarray):
+        """``total``: sums of the neighbours' index vectors, a row a word."""
         self.ids = {w: i + 1 for i, w in enumerate(known)}
-        index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(known)])
-        flat = np.array([i for t in tokens for i in [*(self.ids.get(w, 0) for w in t), *[0] * REACH]], np.int64)
-        total = np.zeros((len(known) + 1, DIM))
-        for step in range(1, REACH + 1):
-            for here, there in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
-                near = index[there]
-                for d in range(DIM):
-                    total[:, d] += np.bincount(here, near[:, d], len(known) + 1)
         context = np.sign(total) * np.log1p(np.abs(total))
-        both = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9) + 0.5 * index / 6 ** 0.5
+        both = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+                + 0.5 * with_others(index_vectors(known)) / 6 ** 0.5)
         self.vectors = both.astype(np.float32)
 
     def pool(self, text: str | None) -> np.ndarray:
@@ -143,37 +167,74 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def features(documents: DataFrame, chosen: DataFrame, words: WordVectors, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled whole texts and labels of ``rows`` chosen rows, in hash order."""
-    told = ship(documents).sparkSession.sparkContext.broadcast(words)  # VOCABULARY rows at most
+def sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """h, doc_id, quality, text (whole) of the first ``rows`` labelled
+    documents in hash order that are not held out."""
+    known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.max("quality").alias("quality")))
+    chosen = (known.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), "doc_id", "quality")
+              .orderBy("h", "doc_id").limit(rows))
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return cut(found.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "quality", "text"), "quality-sample")
+
+
+def word_vectors(texts: DataFrame) -> WordVectors:
+    """Words of the sample (``VOCABULARY`` at most, ``LEAST`` times or more)
+    and their neighbours, counted in tasks over whole texts."""
+    def count(batches):
+        seen = Counter()
+        for b in batches:
+            for t in b["text"]:
+                seen.update(w.group() for w in TOKEN.finditer(t) if w.end() - w.start() <= LONGEST)
+                if len(seen) > 4 * VOCABULARY:
+                    yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
+                    seen.clear()
+        yield pd.DataFrame(list(seen.items()), columns=["w", "n"]).astype({"w": object, "n": np.int64})
+
+    words = (ship(texts).select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w").collect())
+    known = [r[0] for r in words]
+    told = texts.sparkSession.sparkContext.broadcast(known)                     # ``VOCABULARY`` words at most
+    columns = [f"c{i}" for i in range(DIM)]
+
+    def near(batches):
+        known = told.value
+        ids, index = {w: i + 1 for i, w in enumerate(known)}, with_others(index_vectors(known))
+        total = np.zeros((len(known) + 1, DIM))
+        for b in batches:
+            context_sums(b["text"], ids, index, total)
+        some = np.flatnonzero(total.any(1))
+        yield pd.DataFrame(total[some], columns=columns).assign(k=some)[["k", *columns]]
+
+    sums = (texts.select("text").mapInPandas(near, ", ".join(["k long", *[f"{c} double" for c in columns]]))
+            .groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]))           # whole numbers: any order adds alike
+    total = np.zeros((len(known) + 1, DIM))
+    got = sums.toPandas()                                                       # ``VOCABULARY`` rows at most
+    total[got["k"].to_numpy(np.int64)] = got[columns].to_numpy()
+    return WordVectors(known, total)
+
+
+def features(texts: DataFrame, words: WordVectors, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled whole texts and labels of the sample, in hash order."""
+    told = ship(texts).sparkSession.sparkContext.broadcast(words)  # VOCABULARY rows at most
 
     @F.pandas_udf("array<float>")
     def pool(text: pd.Series) -> pd.Series:
         return pd.Series([told.value.pool(t) for t in text])
 
-    got = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-           .select("h", "doc_id", "quality", pool("text").alias("x"))
-           .orderBy("h", "doc_id", "x").limit(rows).collect())     # 134 numbers a row
-    return (np.array([r["x"] for r in got], np.float32), np.array([1.0 if r["quality"] else 0.0 for r in got]))
+    got = (texts.select("h", "doc_id", "quality", pool("text").alias("x"))
+           .orderBy("h", "doc_id", "x").limit(rows).select("x", "quality").toPandas())     # 134 numbers a row
+    return np.stack(got["x"]).astype(np.float32), (got["quality"] != 0).to_numpy(float)
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer | None:
-    """Learn from labelled rows that are not held out, the first ``rows`` in
-    hash order: words from ``FIT_CHARS`` characters of each, the network from
-    whole texts."""
-    known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("quality").alias("quality")))
-    chosen = (known.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), "doc_id", "quality")
-              .orderBy("h", "doc_id").limit(rows))
-    room = F.greatest(F.length("text") - FIT_CHARS, F.lit(1))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), room.cast("long")).cast("int") + 1
-    part = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), place, F.lit(FIT_CHARS)).alias("text"))
-    got = (part.join(F.broadcast(chosen), "doc_id")            # at most ``rows`` short rows
-           .orderBy("h", "doc_id", "text").limit(rows).select("text", "quality").collect())
-    if not got:
+    """Learn words and network from the whole texts of ``rows`` labelled rows
+    that are not held out."""
+    texts = sample(documents, labels, rows)
+    if texts.isEmpty():
         return None
-    words = WordVectors([r["text"] for r in got])
-    return Scorer(words, *features(documents, chosen, words, rows))
+    words = word_vectors(texts)
+    return Scorer(words, *features(texts, words, rows))
 
 
 def score(documents: DataFrame, scorer: Scorer | None, threshold: float = 0.7) -> DataFrame:
@@ -185,5 +246,5 @@ def score(documents: DataFrame, scorer: Scorer | None, threshold: float = 0.7) -
         s = told.value
         return pd.Series(np.full(len(text), 0.5) if s is None else s.score(list(text)), dtype="float64")
 
-    return (documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), of("text").alias("score"))
+    return (documents.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), of("text").alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

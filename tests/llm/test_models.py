@@ -222,3 +222,42 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     long, short = (seen["words"].pool(rows[i][1]) for i in (0, 1))
     assert set(seen["y"]) == {0.0, 1.0}
     assert all(np.allclose(x, short if y else long, atol=1e-6) for x, y in zip(seen["x"], seen["y"]))
+
+
+def test_context_sums_do_not_depend_on_the_piece(monkeypatch):
+    texts = [" ".join(f"w{(k * k) % 23}" for k in range(n)) for n in (0, 1, 2, 3, 50, 200)]
+    known = [f"w{i}" for i in range(20)]                       # some stay unknown
+    ids, index = {w: i + 1 for i, w in enumerate(known)}, quality.with_others(quality.index_vectors(known))
+    want = np.zeros((21, quality.DIM))
+    for t in texts:
+        at = [ids.get(w, 0) for w in t.split()]
+        for i, a in enumerate(at):
+            for j in range(max(0, i - 2), min(len(at), i + 3)):
+                if j != i:
+                    want[a] += index[at[j]]
+    for piece in (5, 7, 64, 1 << 16):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        total = np.zeros((21, quality.DIM))
+        quality.context_sums(texts, ids, index, total)
+        assert (total == want).all()
+
+
+def test_quality_scores_against_one_row_at_a_time(spark):
+    """Every score again from its definition, text by text."""
+    docs, labels = cases.documents(spark), spark.createDataFrame([(1, 1), (3, 0), (7, 0), (9, 1), (12, 0)], "doc_id long, quality int")
+    s = quality.fit(docs, labels)
+
+    def one(text):
+        t = quality.TOKEN.findall(text or "")
+        x = np.zeros(2 * quality.DIM + 6)
+        if t:
+            v = np.stack([s.words.vectors[s.words.ids.get(w, 0)].astype(float) for w in t])
+            shares = [sum(a == b for a, b in zip(t, t[1:])), sum(w.isupper() for w in t), sum(not w.isalnum() for w in t),
+                      sum(w not in s.words.ids for w in t), len(set(t))]
+            x = np.concatenate([v.mean(0), (v * v).mean(0), np.array(shares) / len(t), [np.log1p(len(t)) / 8]])
+        h = np.maximum((x - s.mean) / s.scale @ s.w1 + s.b1, 0)
+        return 1 / (1 + np.exp(-(h @ s.w2 + s.b2[0]) / s.temperature))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score(docs, s).collect():
+        assert abs(r.score - one(texts[r.doc_id])) < 1e-4 and r.held_out is not None
