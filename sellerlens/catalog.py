@@ -19,13 +19,17 @@ from sellerlens.functions import text as T
 from sellerlens.operators import adhoc, chartdata, cleaning, income, reports, search
 from sellerlens.session import scratch_path
 from sellerlens.sinks.csv import read_csv, write_csv
+from sellerlens.sinks.json import write_json_array
 from sellerlens.sources import fixtures
 from sellerlens.sources.files import (INCOME_TYPES, ORDERS_TYPES, OVERVIEW_TYPES, Tables,
                                       conform, load_tables, read_json_table, read_table, row_counts)
+from sellerlens.sources.jsonarray import read_json_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = N.c
 
+JSON_SPLIT = 4 << 20       # bytes of a task of ``scan_json_array``
+
 
 # Lazy DataFrames are immutable and hold no data, so one set per session and
 # input folder is reused: later queries skip file listing and re-analysis.
@@ -88,6 +92,14 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json_table(spark, path, ov.schema, multi_line=False)
 
 
+def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, array form: the settlement entries written as array documents
+    and read back, several tasks a document."""
+    inc = raw(spark, sf_dir)[1]
+    path = write_json_array(inc, scratch_path(spark, "json-array"))
+    return read_json_array(spark, path, inc.schema, split_bytes=JSON_SPLIT)
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1: the cleaned order lines written as CSV by the executors and
     read back (texts with spaces at the ends, quotes and line breaks)."""
@@ -134,12 +146,6 @@ def _adhoc_report(name: str) -> Query:
         adhoc.sql_session(spark, lambda s: tables(s, sf_dir)), ADHOC_REPORTS[name])
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Sums of DOUBLE as compared with the oracle: the order of addition
-    may change their last digits."""
-    return df.withColumns({k: F.round(c(k), digits) for k, t in df.dtypes if t == "double"})
-
-
 # A rule set with group references and a cascade (the fold, not the lookup).
 GENERAL_RULES = [
     (r"^SC_X(\d)$", r"SC-\1x\g<1>"),
@@ -158,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "scan_income": lambda s, d: read_table(s, fixtures.materialize(s, d).income),
     "scan_overview": lambda s, d: read_table(s, fixtures.materialize(s, d).overview),
     "scan_json": scan_json,
+    "scan_json_array": scan_json_array,
     "load_counts": lambda s, d: row_counts(tables(s, d)),
     "csv_roundtrip": csv_roundtrip,
     # order cleaning, step by step and whole
@@ -201,16 +208,16 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "orders_by_month": lambda t: reports.orders_by_month(t.orders),
     "sku_summary": lambda t: reports.sku_summary(t.orders),
     "sku_monthly": lambda t: reports.sku_monthly(t.orders),
-    "income_by_month": lambda t: rounded(reports.income_by_month(t.income)),
+    "income_by_month": lambda t: reports.income_by_month(t.income),
     "income_by_month_text": lambda t: reports.income_by_month_text(t.income),
-    "traffic_by_month": lambda t: rounded(reports.traffic_by_month(t.overview), 9),
+    "traffic_by_month": lambda t: reports.traffic_by_month(t.overview),
     "top_buyers": lambda t: reports.top_buyers(t.orders, t.income),
     "top_provinces": lambda t: reports.top_provinces(t.orders, t.income),
     "adjustments": lambda t: reports.adjustments(t.orders, t.income),
-    "region_analysis": lambda t: rounded(reports.region_analysis(t.orders, t.income)),
-    "region_analysis_text": lambda t: reports.with_money_text(rounded(reports.region_analysis(t.orders, t.income))),
-    "product_analysis": lambda t: rounded(reports.product_analysis(t.orders, t.income)),
-    "product_analysis_text": lambda t: reports.with_money_text(rounded(reports.product_analysis(t.orders, t.income))),
+    "region_analysis": lambda t: reports.region_analysis(t.orders, t.income),
+    "region_analysis_text": lambda t: reports.with_money_text(reports.region_analysis(t.orders, t.income)),
+    "product_analysis": lambda t: reports.product_analysis(t.orders, t.income),
+    "product_analysis_text": lambda t: reports.with_money_text(reports.product_analysis(t.orders, t.income)),
     "error_by_month": lambda t: reports.error_by_month(t.orders),
     "error_list": lambda t: reports.error_list(t.orders),
     "find_order": lambda t: search.find_by_order(t.orders, t.income, S["order_id"], t.entries),
@@ -219,7 +226,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "find_buyer": lambda t: search.find_by_buyer(t.orders, t.income, S["buyer"]),
     "match_counts": lambda t: search.match_counts(t.orders, t.income, **S),
     "chart_orders_long": lambda t: chartdata.chart_orders_long(t.orders),
-    "chart_income_long": lambda t: rounded(chartdata.chart_income_long(t.income)),
+    "chart_income_long": lambda t: chartdata.chart_income_long(t.income),
+    "sku_monthly_pivot": lambda t: chartdata.sku_monthly_pivot(t.orders),
     "sku_share": lambda t: chartdata.sku_share(t.orders),
     "chart_traffic": lambda t: chartdata.chart_traffic(t.overview),
 }

@@ -45,6 +45,42 @@ def sku_share(orders: DataFrame) -> DataFrame:
     return summary.select(c(N.SKU_CATEGORY), c(N.SUM_QTY), (c(N.SUM_QTY) / total).alias("share"))
 
 
+WIDEST = 200
+
+
+def to_wide(df: DataFrame, key: str, series: str, value: str, widest: int = WIDEST) -> DataFrame:
+    """V-4: long to wide, one row a ``key`` and one column a ``series`` value.
+
+    ``df`` has one row a (key, series) pair. A first pass finds the series
+    (in ascending order, null last as ``null``; at most ``widest`` + 1 values
+    leave the tasks), a second one fills the columns. A cell without a row is
+    null, one with the value zero is zero. More than ``widest`` series are
+    too many for columns: then the result is ``df``'s long form, the columns
+    key, series, value. A series named like the key, or like an earlier one
+    but for upper and lower case, gets a ``_1``.
+    """
+    found = df.select(c(series).alias("s")).distinct().orderBy(F.asc_nulls_last("s")).limit(widest + 1).collect()
+    if len(found) > widest:
+        return df.select(c(key), c(series), c(value)).orderBy(F.asc_nulls_last(c(key)), F.asc_nulls_last(c(series)))
+    taken, columns = {key.lower()}, []
+    for r in found:
+        name = str(r["s"]) if r["s"] is not None else "null"
+        k, own = 0, name
+        while own.lower() in taken:
+            k += 1
+            own = f"{name}_{k}"
+        taken.add(own.lower())
+        columns.append(F.max(F.when(c(series).eqNullSafe(F.lit(r["s"])), c(value))).alias(own))
+    keys = df.groupBy(c(key).alias(key))
+    wide = keys.agg(*columns) if columns else keys.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return wide.orderBy(F.asc_nulls_last(c(key)))
+
+
+def sku_monthly_pivot(orders: DataFrame, widest: int = WIDEST) -> DataFrame:
+    """Q3's units as one row a month and one column a SKU category."""
+    return to_wide(R.sku_monthly(orders), N.MONTH_VN, N.PRODUCT_KIND, N.TOTAL_QUANTITY, widest)
+
+
 def chart_traffic(overview: DataFrame) -> DataFrame:
     """V-5: page views (bars) and store visits (line) per month."""
     return R.traffic_by_month(overview).select(c(N.MONTH_VN), c(N.PAGE_VIEWS), c(N.STORE_VISITS))

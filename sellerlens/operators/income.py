@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens import names as N
+from sellerlens.functions.exact import lane_sums
 from sellerlens.functions.text import starts_with_text, with_settled_date
 from sellerlens.sources.files import refuse_floating_ids, strip_headers
 
@@ -194,13 +195,12 @@ def abs_fees(df: DataFrame) -> DataFrame:
 def income_by_order(income: DataFrame) -> DataFrame:
     """Settlement entries summed per related order (non-null IDs).
 
-    One row per order: ``_rid``, ``n_inc`` (entries) and ``rev_sum``
-    (sum of ``Total revenue``). Joining order lines to this
+    One row per order: ``_rid``, ``n_inc`` (entries) and the lanes ``rev_…``
+    of the exact sum of ``Total revenue``. Joining order lines to this
     instead of to the entries gives the same totals as the many-to-many
     join without materialising its fan-out.
     """
     rid = N.c(N.RELATED_ORDER_ID).cast("string")
     return (income.where(rid.isNotNull())
                   .groupBy(rid.alias("_rid"))
-                  .agg(F.count(F.lit(1)).alias("n_inc"),
-                       F.sum(N.c(N.TOTAL_REVENUE).cast("double")).alias("rev_sum")))
+                  .agg(F.count(F.lit(1)).alias("n_inc"), *lane_sums(N.c(N.TOTAL_REVENUE), "rev_")))

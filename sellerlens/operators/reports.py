@@ -4,8 +4,8 @@ Conventions, kept in every report:
 
 * sorts put nulls last in both directions and end with the group key as a
   tie-breaker, so results are deterministic;
-* money is summed as DOUBLE, whatever its size and number of decimals; the
-  last digits may depend on the order of addition;
+* money and rates are summed exactly (``functions.exact``): a result is the
+  true sum, rounded once, whatever the order and the partitioning;
 * the join reports count and sum over the many-to-many join exactly as
   ``orders JOIN income`` would (an order with two entries counts twice),
   but are computed from per-order partial results (see ``plans.joins``).
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens import names as N
+from sellerlens.functions.exact import exact_avg, exact_sum, exact_sum_of_lanes
 from sellerlens.functions.text import money_text, sku_category
 from sellerlens.plans.joins import join_entries, lines_per_order, order_income
 
@@ -31,8 +32,8 @@ def _is(col: str, value: str) -> Column:
 
 
 def money_sum(col: str) -> Column:
-    """Sum of money as DOUBLE."""
-    return F.sum(c(col).cast("double"))
+    """Sum of money as DOUBLE, the same in any order of addition."""
+    return exact_sum(c(col))
 
 
 # ---------------------------------------------------------------- page load
@@ -108,7 +109,7 @@ def traffic_by_month(overview: DataFrame, lenient: bool = False) -> DataFrame:
     return (overview.groupBy(month.alias(N.MONTH_VN))
                     .agg(F.sum(c(N.PAGE_VIEWS)).alias(N.PAGE_VIEWS),
                          F.sum(c(N.STORE_VISITS)).alias(N.STORE_VISITS),
-                         F.avg(c(N.CONVERSION)).alias(N.CONVERSION))
+                         exact_avg(c(N.CONVERSION)).alias(N.CONVERSION))
                     .orderBy(F.asc_nulls_last(c(N.MONTH_VN))))
 
 
@@ -163,7 +164,7 @@ def _joined_group_report(orders: DataFrame, income: DataFrame, keys: Sequence[st
                 else F.sum(returned_rows))
     out = (j.groupBy(*[c(k).alias(k) for k in keys])
              .agg(F.count(F.lit(1)).alias(N.N_ORDERS),
-                  F.sum(F.col("n_lines") * F.col("rev_sum")).alias(N.REVENUE),
+                  exact_sum_of_lanes("rev_", F.col("n_lines")).alias(N.REVENUE),
                   returned.alias(N.RETURN_RATE if returned_as_rate else N.N_RETURNED)))
     if also is not None:
         out = out.withColumn(also, sku_category(c(N.SELLER_SKU)))

@@ -5,8 +5,8 @@ the cleaning and classification in DuckDB SQL (window functions, regex
 folds, a VALUES dictionary join: deliberately a different formulation from
 the Spark code) and then runs the report. Conventions shared with the Spark
 side: sums of BIGINT are cast back to BIGINT (DuckDB widens them to
-HUGEINT), sums of DOUBLE are rounded to 4 decimals (amounts have at most
-three, so the order of addition cannot show), sorts put nulls last and end
+HUGEINT), sums of DOUBLE are exact (added as HUGEINT units of 2^-72, no matter
+in which order), sorts put nulls last and end
 with the group key.
 """
 
@@ -116,8 +116,12 @@ def _with(body: str) -> str:
     return _PREFIX[0] + body
 
 
+# A double as a whole number of 2^-72, in which sums are exact.
+_UNITS = "CAST(CAST({x} AS DOUBLE) * pow(2, 72) AS HUGEINT)"
+
+
 def _money(x: str) -> str:
-    return f"ROUND(SUM({x}), 4)"
+    return f"CAST(SUM({_UNITS.format(x=x)}) AS DOUBLE) / pow(2, 72)"
 
 
 def _money_text(x: str) -> str:
@@ -162,7 +166,7 @@ FROM c_income GROUP BY 1 ORDER BY 1 NULLS LAST"""
 _Q5 = f"""SELECT strftime(CAST({q(N.DAY)} AS DATE), '%Y-%m') AS {q(N.MONTH_VN)},
   CAST(SUM({q(N.PAGE_VIEWS)}) AS BIGINT) AS {q(N.PAGE_VIEWS)},
   CAST(SUM({q(N.STORE_VISITS)}) AS BIGINT) AS {q(N.STORE_VISITS)},
-  ROUND(AVG({q(N.CONVERSION)}), 9) AS {q(N.CONVERSION)}
+  {_money(q(N.CONVERSION))} / COUNT({q(N.CONVERSION)}) AS {q(N.CONVERSION)}
 FROM mkt_overview GROUP BY 1 ORDER BY 1 NULLS LAST"""
 
 
@@ -178,7 +182,7 @@ ORDER BY {q(N.CREATED_TS)} DESC NULLS LAST, {q(N.ORDER_ID)}"""
 
 _Q9 = f"""SELECT {q(N.PROVINCE)}, COUNT(DISTINCT {q(N.ORDER_ID)}) AS {q(N.N_ORDERS)},
   {_money(q(N.TOTAL_REVENUE))} AS {q(N.REVENUE)},
-  ROUND(AVG(CASE WHEN {q(N.RETURN_TYPE)} = 'Return/Refund' THEN 1 ELSE 0 END), 4) AS {q(N.RETURN_RATE)}
+  SUM(CASE WHEN {q(N.RETURN_TYPE)} = 'Return/Refund' THEN 1 ELSE 0 END) / COUNT(*) AS {q(N.RETURN_RATE)}
 FROM joined GROUP BY 1 ORDER BY 3 DESC NULLS LAST, 1 NULLS LAST"""
 
 _Q10 = f"""SELECT {q(N.PRODUCT_NAME)}, {q(N.SELLER_SKU)}, {q(N.SKU_CATEGORY)},
@@ -229,6 +233,7 @@ def _queries() -> dict[str, str]:
         "scan_income": _with("SELECT * FROM mkt_income"),
         "scan_overview": _with("SELECT * FROM mkt_overview"),
         "scan_json": _with("SELECT * FROM mkt_overview"),
+        "scan_json_array": _with("SELECT * FROM mkt_income"),
         "load_counts": _with("SELECT (SELECT COUNT(*) FROM c_orders) AS orders_rows, "
                              "(SELECT COUNT(*) FROM c_income) AS income_rows"),
         # order cleaning
@@ -302,9 +307,9 @@ UNION ALL SELECT 'buyer', COUNT(*) FROM joined WHERE {q(N.BUYER)} = {lit(S['buye
             f"SELECT {q(N.ORDER_MONTH)}, {q(N.N_ORDERS)} AS n_orders, {q(N.N_CANCELED)} AS n_canceled, "
             f"{q(N.N_COMPLETED)} AS n_completed FROM ({_Q1})"),
         "adhoc_income_by_month": _with(
-            f"SELECT {q(N.MONTH)} AS Month, {q(N.REVENUE)} AS revenue, {q(N.NET_REVENUE)} AS net FROM ({_Q4})"),
+            f"SELECT {q(N.MONTH)} AS Month, round({q(N.REVENUE)}, 4) AS revenue, round({q(N.NET_REVENUE)}, 4) AS net FROM ({_Q4})"),
         "adhoc_traffic": _with(
-            f"SELECT {q(N.MONTH_VN)} AS Month, {q(N.PAGE_VIEWS)} AS views, {q(N.CONVERSION)} AS conversion FROM ({_Q5})"),
+            f"SELECT {q(N.MONTH_VN)} AS Month, {q(N.PAGE_VIEWS)} AS views, round({q(N.CONVERSION)}, 9) AS conversion FROM ({_Q5})"),
         "adhoc_errors": _with(
             f"SELECT strftime({q(N.CREATED_TS)}, 'Tháng %m/%Y (%b)') AS Month, COUNT(*) AS errors "
             f"FROM c_orders WHERE {q(N.ORDER_SUBSTATUS)} = 'Error Order' GROUP BY 1"),
@@ -316,6 +321,8 @@ UNION ALL SELECT 'buyer', COUNT(*) FROM joined WHERE {q(N.BUYER)} = {lit(S['buye
         # chart frames
         "chart_orders_long": _with(_unpivot(_Q1, N.ORDER_MONTH, [N.N_ORDERS, N.N_COMPLETED, N.N_CANCELED])),
         "chart_income_long": _with(_unpivot(_Q4, N.MONTH, [N.REVENUE, N.NET_REVENUE])),
+        "sku_monthly_pivot": _with(
+            f"SELECT * FROM (PIVOT ({_Q3}) ON {q(N.PRODUCT_KIND)} USING max({q(N.TOTAL_QUANTITY)}) GROUP BY {q(N.MONTH_VN)})"),
         "sku_share": _with(f"SELECT {q(N.SKU_CATEGORY)}, {q(N.SUM_QTY)}, "
                            f"{q(N.SUM_QTY)} / SUM({q(N.SUM_QTY)}) OVER () AS share FROM ({_Q2})"),
         "chart_traffic": _with(f"SELECT {q(N.MONTH_VN)}, {q(N.PAGE_VIEWS)}, {q(N.STORE_VISITS)} FROM ({_Q5})"),

@@ -71,6 +71,6 @@ def lines_per_order(orders: DataFrame, keys: Sequence[Column | str],
 
 def join_entries(lines: DataFrame, income: DataFrame) -> DataFrame:
     """``lines_per_order`` rows that have settlement entries, with
-    ``n_inc`` and ``rev_sum`` of their order attached (inner join)."""
+    ``n_inc`` and the revenue lanes of their order attached (inner join)."""
     per_order = income_by_order(income)
     return lines.join(per_order, lines["_oid"] == per_order["_rid"], "inner")
