@@ -12,8 +12,10 @@ The order puts n-grams last that many documents share (counted over all
 texts), the rest by hash. Equal sets are joined by their digest first and only
 one stands for them. Columns of at most ``SMALL`` documents give all their
 pairs. Longer columns link every document to one leader, then components are
-formed, and only pairs between different components of a column remain; those
-are all formed, so no link is lost. Survivors are verified on their texts.
+formed, and only pairs between different components of a column remain. Of
+those, the triangle inequality of the Jaccard distance leaves the pairs whose
+distances to one document of the column differ by 1/4 at most; they are all
+formed, so no link is lost. Survivors are verified on their texts.
 
 Sets are those of 64-bit n-gram hashes. Words are ``[^\\x20\\x09-\\x0D]+`` of
 the text with A-Z lower-cased; a text with fewer words than the n-gram has is
@@ -43,6 +45,7 @@ SMALL = 8                 # documents of a column that gives all its pairs
 COMMON_ROWS = 200_000     # common n-grams that are told to every task
 CHUNK = 2_000_000         # n-grams counted together in the search for common ones
 STARS = 3                 # rounds of leaders before the remaining pairs
+BINS = 4                  # bins of the distance to a pivot; linked texts are one bin apart at most
 FIRST = 16                # columns of a document that tell where a pair is formed
 REMEMBERED = 200_000      # word hashes kept by one Python worker
 
@@ -231,8 +234,9 @@ def _products(entries: DataFrame) -> DataFrame:
             .mapInPandas(f, "g long, a long, na long, b long, nb long"))
 
 
-def verify(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are at least 3/4 similar."""
+def overlaps(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, sizes na, nb and ``both``, the members in common, of the whole
+    sets of pairs (one row for each two texts, if a document has several)."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = _texts(documents).join(small_side(ids), "doc_id", "left_semi")
@@ -265,12 +269,25 @@ def verify(documents: DataFrame, pairs: DataFrame) -> DataFrame:
                 p, q = of(x, tx), of(y, ty)
                 m = np.concatenate([p, q])
                 m.sort()
-                both = int(np.count_nonzero(m[1:] == m[:-1]))
-                if both and 7 * both >= 3 * (len(p) + len(q)):
-                    ok.append((x, y))
-            yield pd.DataFrame(ok, columns=["a", "b"], dtype=np.int64)
+                ok.append((x, y, len(p), len(q), np.count_nonzero(m[1:] == m[:-1])))
+            yield pd.DataFrame(ok, columns=["a", "b", "na", "nb", "both"], dtype=np.int64)
+
+    return t.select("a", "b", "ta", "tb").mapInPandas(f, "a long, b long, na long, nb long, both long")
+
+
+def verify(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are at least 3/4 similar."""
+    return overlaps(documents, pairs).where("both > 0 AND 7 * both >= 3 * (na + nb)").select("a", "b")
+
 
-    return t.select("a", "b", "ta", "tb").mapInPandas(f, "a long, b long")
+def distances(documents: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, pivot, d of the distinct (doc_id, pivot) of ``entries``: the
+    Jaccard distance of their sets, null if one of them has several."""
+    want = entries.select("doc_id", "pivot").distinct()
+    pairs = want.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    d = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    found = overlaps(documents, pairs).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(d).alias("d"))
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), F.when(F.col("c") == 1, F.col("d")).alias("d"))
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -315,8 +332,10 @@ def join(documents: DataFrame) -> DataFrame:
         own = (F.col("n") - _remaining(F.col("n")) - F.col("t")) / F.col("n") if turn == 0 else F.lit(0.0)
         heads = at.groupBy("g").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.min(F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "doc_id").alias("h"), "doc_id", "n", "root")).alias("head"))
-        mixed = cut(at.join(heads.where("lo < hi"), "g").select("g", "doc_id", "n", "t", "root", "head"), "mixed")
+            F.min(F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "doc_id").alias("h"), "doc_id", "n", "root")).alias("head"),
+            F.min(F.struct(F.xxhash64(F.lit(-1), "doc_id").alias("h"), "doc_id")).alias("pivot"))
+        mixed = cut(at.join(heads.where("lo < hi"), "g").select("g", "doc_id", "n", "t", "root", "head",
+                                                                F.col("pivot.doc_id").alias("pivot")), "mixed")
         if mixed.isEmpty():
             break
         if turn < STARS:
@@ -327,14 +346,30 @@ def join(documents: DataFrame) -> DataFrame:
             x = x.where("4 * least(na, nb) >= 3 * greatest(na, nb)").distinct()
             x = with_open(x.join(counted.select("a", "b", "c"), ["a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0))))
         else:
+            # The Jaccard distance is a metric, and linked texts are 1/4 apart at
+            # most: two texts whose distances to a third one, the column's
+            # pivot, differ by more cannot link. So a column is split by the
+            # distance to its pivot into bins of 1/4, and only texts of the
+            # same or neighbouring bins meet.
+            far = cut(distances(documents, mixed), "distances")
+            several = whole.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
             # A pair is formed in the first column both have, as far as each
             # document's first FIRST columns tell, not once for each column.
             first = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("g")), 1, FIRST).alias("f"))
-            each = cut(mixed.select("g", "doc_id", "n", "t", "root").join(first, "doc_id"), "each")
-            l, r = (each.select("g", *[F.col(c).alias(c + s) for c in ("doc_id", "n", "t", "root", "f")]) for s in "ab")
-            x = l.join(r, "g").where(
+            d = F.when(F.col("several").isNull(), F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
+            each = (mixed.select("g", "doc_id", "n", "t", "root", "pivot").join(first, "doc_id")
+                    .join(small_side(far), ["doc_id", "pivot"], "left")
+                    .join(several.select("doc_id", F.lit(1).alias("several")), "doc_id", "left").withColumn("d", d))
+            each = cut(each.withColumn("bin", F.floor(F.col("d") * BINS).cast("int")), "each")
+            l, r = (each.select("g", "bin", *[F.col(c).alias(c + s) for c in ("doc_id", "n", "t", "root", "f", "d")]) for s in "ab")
+            every = F.sequence(F.lit(0), F.lit(BINS))
+            l = l.withColumn("bin", F.explode(F.when(F.col("bin").isNull(), every).otherwise(F.array("bin"))))
+            r = r.withColumn("bin", F.explode(F.when(F.col("bin").isNull(), every).otherwise(
+                F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))))
+            x = l.join(r, ["g", "bin"]).where(
                 "doc_ida < doc_idb AND roota <> rootb AND 4 * least(na, nb) >= 3 * greatest(na, nb)"
-                " AND coalesce(array_min(array_intersect(fa, fb)) >= g, true)")
+                " AND coalesce(array_min(array_intersect(fa, fb)) >= g, true)"
+                f" AND coalesce(abs(da - db) <= 1 / {BINS} + 1e-9, true)")
             x = possible(x, F.least("ta", "tb")).select(F.col("doc_ida").alias("a"), "na", F.col("doc_idb").alias("b"), "nb").distinct()
             # The overlap in all long columns, from each document's own list.
             own = rest.groupBy("doc_id").agg(F.collect_set("g").alias("gs"))

@@ -99,3 +99,24 @@ def test_other_text_of_a_copy_still_links(spark):
     rows = [(3, x), (5, x), (5, y), (9, y + " more")]
     got = sorted((tuple(r) for r in shingles.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == brute(rows) and {c for _, _, c in got} == {3}
+
+
+def test_bins_of_the_distance_lose_no_link(spark, monkeypatch):
+    """All pairs of long columns in the last round, without leaders before:
+    chains of ever more edited texts, ids with several texts."""
+    monkeypatch.setattr(shingles, "SMALL", 2)
+    monkeypatch.setattr(shingles, "STARS", 0)
+    r = random.Random(21)
+    pool = [f"w{i}" for i in range(2000)]
+    rows, passage = [], r.choices(pool, k=40)
+    for _ in range(4):
+        w = r.choices(pool, k=70)
+        for _ in range(14):
+            w = list(w)
+            for _ in range(r.choice([1, 2, 3])):
+                w[r.randrange(len(w))] = r.choice(pool)
+            rows.append(" ".join(w))
+    rows += [" ".join(passage + r.choices(pool, k=r.randint(1, 40))) for _ in range(30)]
+    rows = list(enumerate(rows)) + [(2, rows[20]), (60, rows[3] + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in shingles.join(docs).collect()), key=repr) == brute(rows)
