@@ -13,7 +13,7 @@ aggregations in Spark; both give the same weights.
 Defined cases: null source, language or topic is a value of its own; null and
 empty texts have no tokens and the probability of their cell; a cell without
 any token weight keeps its documents with the wanted share; repeated rows
-count and are sampled alike; a target for an absent value is ignored, values
+count and are sampled alike; a null doc_id is drawn by its text; a target for an absent value is ignored, values
 without a target keep their own share; an empty table gives no rows; extra
 columns are carried along.
 """
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sellerlens.llm.rules import SPACE
-from sellerlens.llm.work import cut
+from sellerlens.llm.work import cut, free
 
 CELLS = 100_000
 SWEEPS = 100
@@ -153,33 +153,40 @@ def _level_table(t: DataFrame, want: float) -> float:
     return hi
 
 
+def names(documents: DataFrame) -> list[str]:
+    """Names of the columns that ``mix`` adds: ``__tokens``, ``__probability``
+    and ``__sampled``, unless columns of ``documents`` have them."""
+    return free(documents.columns, "__tokens", "__probability", "__sampled")
+
+
 def mix(documents: DataFrame, targets: dict, share: float, seed: int = 0, cells_on_driver: int = CELLS) -> DataFrame:
-    """``documents`` with ``__tokens``, ``__probability`` and ``__sampled``.
+    """``documents`` with tokens, probability and whether it is sampled (``names``).
 
     ``targets`` maps "source", "lang" and "topic" to an exponent or a dict of
     shares; ``share`` is the part of all tokens to expect.
     """
     dims = list(targets)
     own = {"topic": topic(F.col("text"))}
-    key = [F.coalesce(own.get(d, F.col(f"`{d}`")).cast("string"), F.lit(NULL)).alias(f"__{d}") for d in dims]
-    names = [f"__{d}" for d in dims]
-    aims = {f"__{d}": targets[d] for d in dims}
-    t = documents.select("*", *key, tokens(F.col("text")).alias("__tokens"))
-    cells = cut(t.groupBy(*names).agg(F.sum("__tokens").alias("n")), "cells")
+    size, chance_of, sampled, *names = free(documents.columns, "__tokens", "__probability", "__sampled", *[f"__{d}" for d in dims])
+    key = [F.coalesce(own.get(d, F.col(f"`{d}`")).cast("string"), F.lit(NULL)).alias(k) for d, k in zip(dims, names)]
+    aims = {k: targets[d] for d, k in zip(dims, names)}
+    t = documents.select("*", *key, tokens(F.col("text")).alias(size))
+    cells = cut(t.groupBy(*names).agg(F.sum(size).alias("n")), "cells")
     if cells.count() <= cells_on_driver:
         c = cells.toPandas().sort_values(names, ignore_index=True)
-        c["__probability"] = probabilities(c, rake(c, names, aims), share) if len(c) else np.empty(0)
-        schema = ", ".join(f"`{n}` string" for n in names) + ", `__probability` double"
+        c[chance_of] = probabilities(c, rake(c, names, aims), share) if len(c) else np.empty(0)
+        schema = ", ".join(f"`{n}` string" for n in names) + f", `{chance_of}` double"
         told = F.broadcast(documents.sparkSession.createDataFrame(                 # ``CELLS`` rows at most
-            c[[*names, "__probability"]].values.tolist(), schema))
+            c[[*names, chance_of]].values.tolist(), schema))
     else:
         w = cut(rake_table(cells, names, aims), "rake")
         total = w.agg(F.sum("n")).first()[0] or 0
         level = _level_table(w, share * total)
         p = (F.when(F.col("n") == 0, F.lit(share)).when(F.col("w") > 0, F.least(F.lit(1.0), F.lit(level) * F.col("w") / F.col("n")))
              .otherwise(0.0))
-        told = w.select(*names, p.alias("__probability"))
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+        told = w.select(*names, p.alias(chance_of))
+    draw = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("text", F.lit(seed)))
+    chance = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
     out = t.join(told, names)
-    return out.select(*[f"`{c}`" for c in documents.columns], "__tokens", "__probability",
-                      (chance < F.col("__probability")).alias("__sampled"))
+    return out.select(*[f"`{c}`" for c in documents.columns], size, chance_of,
+                      (chance < F.col(chance_of)).alias(sampled))
