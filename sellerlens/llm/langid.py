@@ -9,7 +9,8 @@ probabilities by their number of bytes.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0;
 with nothing to learn from, so does every text; texts of any length are read
-whole; repeated rows are predicted each; extra columns stay out; an empty
+whole; repeated rows are predicted each; a null doc_id is not held out and
+not learned from; extra columns stay out; an empty
 table gives an empty result.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sellerlens.llm.work import ship
+from sellerlens.llm.work import free, ship
 
 FIT_ROWS = 8_000      # labelled rows that are learned from, at most
 WINDOW = 256          # bytes of a window
@@ -29,6 +30,11 @@ EMBED = 6
 STEPS = 640           # training steps, whatever the number of rows
 BATCH = 256           # windows predicted together
 UNKNOWN = "und"
+# First letter and number of letters of some scripts (fixed values): Greek,
+# Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, Hiragana,
+# Han, Hangul.
+SCRIPTS = ((0x3B1, 25), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x627, 36), (0x904, 54), (0xE01, 46),
+           (0x10D0, 33), (0x3041, 83), (0x4E00, 20000), (0xAC00, 11000))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -148,26 +154,58 @@ def _windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, owner, length
 
 
-def fit(documents: DataFrame, rows: int = FIT_ROWS) -> ByteNet | None:
-    """Learn from the texts and languages of rows that are not held out: one
-    window at a hashed place of each of the first ``rows`` in hash order."""
+def noise(x: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Windows of no language, a third each: letters of real windows in another
+    order (word lengths kept), random Latin letters, letters of foreign scripts."""
+    r = np.random.default_rng(seed)
+    out = []
+    for i, row in enumerate(x):
+        text = bytes(row[row > 0]).decode("utf-8", "ignore")
+        if i % 3 == 0:
+            letters = [c for c in text if c.isalpha()]
+            r.shuffle(letters)
+            it = iter(letters)
+            text = "".join(next(it) if c.isalpha() else c for c in text)
+        else:
+            first, size = (0x61, 26) if i % 3 == 1 else SCRIPTS[r.integers(len(SCRIPTS))]
+            gap = r.integers(3, 12)
+            text = "".join(" " if r.integers(gap) == 0 else chr(first + r.integers(size)) for _ in range(WINDOW))
+        raw = text.encode()[:WINDOW]
+        out.append(np.frombuffer(raw.ljust(WINDOW, b"\0"), np.uint8))
+    return np.stack(out)
+
+
+def sample(documents: DataFrame, rows: int) -> DataFrame:
+    """h, lang, text of ``rows`` rows that are not held out, in hash order. A
+    hash threshold from a count keeps what tasks send to little more than that."""
+    t = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
+        F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    n = t.count()
+    if n > 4 * rows:
+        t = t.where(F.pmod(F.shiftright("h", 20), F.lit(1 << 30)) < int((1 << 30) * 2.0 * rows / n))
     room = F.greatest(F.length("text") - WINDOW, F.lit(1))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), room.cast("long")).cast("int") + 1
-    got = (documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-           .select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("lang").cast("string").alias("lang"),
-                   F.substring("text", place, F.lit(WINDOW)).alias("text"))
-           .orderBy("h", "lang", "text").limit(rows).collect())
+    return t.select("h", "lang", F.substring("text", place, F.lit(WINDOW)).alias("text")).orderBy("h", "lang", "text").limit(rows)
+
+
+def fit(documents: DataFrame, rows: int = FIT_ROWS, reject: bool = False) -> ByteNet | None:
+    """Learn from the texts and languages of rows that are not held out: one
+    window at a hashed place of each of the first ``rows`` in hash order (a
+    bound of 2 MB on what is learned from; predictions read whole texts). With
+    ``reject``, ``und`` is one more class, learned from ``noise``."""
+    got = sample(documents, rows).collect()
     classes = sorted({r["lang"] for r in got})
     if not classes:
         return None
     x = np.stack([_windows([r["text"].lower().encode("utf-8", "replace")[:WINDOW] or b" "])[0][0] for r in got])
     y = np.array([classes.index(r["lang"]) for r in got])
+    if reject:
+        other = noise(x[::3] if len(x) > 300 else x)
+        x, y = np.concatenate([x, other]), np.concatenate([y, np.full(len(other), len(classes))])
+        classes = [*classes, UNKNOWN]
     return ByteNet(classes).fit(x, y)
 
 
-PREDICTED = "doc_id long, lang_pred string, score double"
-
-
 def predict_texts(net: ByteNet | None, texts) -> list[tuple[str, float]]:
     out = [(UNKNOWN, 0.0)] * len(texts)
     if net is None:
@@ -193,22 +231,22 @@ def predict_texts(net: ByteNet | None, texts) -> list[tuple[str, float]]:
     return out
 
 
-def predict(documents: DataFrame, net: ByteNet | None) -> DataFrame:
-    """All columns of ``documents`` with lang_pred and score added (replacing
-    columns of these names)."""
+def predict(documents: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``documents`` and two more, language and score, under
+    ``names``, which must be free."""
     told = ship(documents).sparkSession.sparkContext.broadcast(net)  # fixed size
-    extra = "lang_pred string, score double"
 
-    @F.pandas_udf(f"struct<{extra.replace(' string', ':string').replace(' double', ':double')}>")
+    @F.pandas_udf("struct<l:string,s:double>")
     def of(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict_texts(told.value, list(text)), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict_texts(told.value, list(text)), columns=["l", "s"])
 
-    rest = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    return (documents.select(*[f"`{c}`" for c in rest], of("text").alias("__p"))
-            .select(*[f"`{c}`" for c in rest], "__p.lang_pred", "__p.score"))
+    both, = free(documents.columns, "__p")
+    rest = [F.col(f"`{c}`") for c in documents.columns]
+    return (documents.select(*rest, of("text").alias(both))
+            .select(*rest, F.col(f"{both}.l").alias(names[0]), F.col(f"{both}.s").alias(names[1])))
 
 
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     p = predict(documents.select("doc_id", "text"), fit(documents))
-    return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return p.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
