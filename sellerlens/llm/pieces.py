@@ -24,7 +24,9 @@ import heapq
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -201,6 +203,9 @@ class PieceTable:
             out += self.run(blank)
         return out
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     # -- decoding -----------------------------------------------------------
 
     def decode(self, ids: list[int]) -> str:
@@ -278,6 +283,36 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     return _texts(documents).mapInPandas(f, ENCODED)
 
 
+SLICE = 256            # rows whose ids a task holds at a time
+
+
+def encode_rows(documents: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document, n_tokens, ids and round_trip:
+    does decoding give the text back (null: the empty text)?"""
+    model = documents.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+
+    def f(batches):
+        t = piece_table(model.value)
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
+                ids, same = [], []
+                for text in part.column(part.num_columns - 1):
+                    x = text.as_py() or ""
+                    got = t.encode(x)
+                    same.append(t.decode(got) == x)
+                    ids.append(np.array(got, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                    [*keep, "n_tokens", "ids", "round_trip"])
+        t.forget()             # the worker lives on
+
+    t = ship(documents).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text"))
+    kinds = ", ".join(f"`{c}` {t.schema[i].dataType.simpleString()}" for i, c in enumerate(keep))
+    return t.mapInArrow(f, f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the text of ``ids`` (null ids: the empty text)."""
     model = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))

@@ -134,8 +134,8 @@ def test_pipeline_stages_on_awkward_documents(spark, docs):
         if name != "sentencepiece":
             assert d.columns == before
         if name == "language_id" and docs is cases.documents:
-            assert {r.doc_id for r in d.collect()} == {1, 2, 3, 7, 8, 9, 11, 12, 13, None}
-            assert d.where("doc_id = 7").first().lang == "en"
+            kept = {r.doc_id for r in d.collect()}
+            assert {1, 2, 3, 9, 11, None} <= kept <= {1, 2, 3, 7, 8, 9, 11, 12, 13, None}
     assert d.where("NOT round_trip").count() == 0
 
 
@@ -144,7 +144,9 @@ def test_pipeline_against_brute_force(spark):
     from tests.llm import test_lines, test_shingles
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = corpus_pipeline.cut(corpus_pipeline.language_id(spark, d, SF), "t")
-    assert one.count() == d.where("text RLIKE '\\\\p{L}'").count()
+    kept = {r.doc_id for r in one.select("doc_id").collect()}
+    letters = {r.doc_id for r in d.where("text RLIKE '\\\\p{L}' AND length(text) >= 40").select("doc_id").collect()}
+    assert kept <= {r.doc_id for r in d.where("text RLIKE '\\\\p{L}'").collect()} and len(letters - kept) <= 0.01 * len(letters)
     two = corpus_pipeline.cut(corpus_pipeline.line_dedup(spark, one, SF), "t")
     gone = test_lines.brute([(r.doc_id, r.text) for r in one.collect()])
     want = {}
@@ -160,7 +162,7 @@ def test_pipeline_against_brute_force(spark):
     four = corpus_pipeline.cut(corpus_pipeline.source_mixing(spark, three, SF), "t")
     assert 0 < four.count() < three.count()
     five = corpus_pipeline.sentencepiece(spark, four, SF)
-    table = pieces.piece_table(pieces.model_bytes(corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")))
+    table = pieces.piece_table(pieces.model_bytes(corpus_pipeline.PIECE_MODEL))
     texts = {r.doc_id: r.text for r in four.collect()}
     assert {r.doc_id: list(r.ids) for r in five.collect()} == {k: table.encode(t) for k, t in texts.items()}
 
@@ -261,3 +263,50 @@ def test_quality_scores_against_one_row_at_a_time(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in quality.score(docs, s).collect():
         assert abs(r.score - one(texts[r.doc_id])) < 1e-4 and r.held_out is not None
+
+
+def planted_noise():
+    import random
+    r = random.Random(8)
+    han = "".join(chr(c) for c in range(0x4E00, 0x5E00))
+    greek, cyrillic = "".join(chr(c) for c in range(0x3B1, 0x3CA)), "".join(chr(c) for c in range(0x430, 0x450))
+    out = []
+    for letters in (han, greek, cyrillic, "bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz"):
+        out += ["".join(r.choice(letters) if r.random() < 0.85 else " " for _ in range(r.choice([120, 400, 3000]))) for _ in range(12)]
+    return out
+
+
+def test_pipeline_rejects_unlearned_languages_and_keeps_clean_documents(spark):
+    """The share of clean held-out documents that goes is under 1 %."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bad = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(planted_noise())], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(bad), SF).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where("lang IS NOT NULL AND n_chars >= 40").collect()}
+    assert len(clean - kept) <= 0.01 * len(clean)
+    wrong = [i for i in range(len(planted_noise())) if 10_000 + i in kept]
+    assert len(wrong) <= 3, wrong
+
+
+def test_pipeline_leaves_clashing_columns_alone(spark):
+    extra = ["score", "lang_pred", "__gone", "__id", "__tokens", "__p", "__dropped", "__lang", "__source", "__SAMPLED", "bin", "pivot"]
+    docs = cases.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.where("doc_id IS NULL OR doc_id <> 9").select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+    d = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = corpus_pipeline.cut(stage(spark, d, SF), name)
+        assert d.columns == docs.columns
+        for r in d.collect():
+            assert all(r[c] == f"own {c}" for c in extra)
+    assert corpus_pipeline.sentencepiece(spark, d, SF).count() == d.count()
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    n = mixing.mix(docs, {"lang": 1.0}, 0.7).where("__sampled").count()
+    assert 230 < n < 330
+
+
+def test_one_defined_row_of_a_repeated_id(spark):
+    rows = [(5, t, "en", "s", 1) for t in ("b text of five words and more", "a text of five words and more", "b text of five words and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in corpus_pipeline.ngram_join(spark, docs, SF).collect()] == [rows[1][1]]
