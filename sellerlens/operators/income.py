@@ -99,8 +99,8 @@ def _labels(n_rid: Column, n_pair: Column, comp: Column) -> dict[str, Column]:
 def attach_group_stats(df: DataFrame) -> DataFrame:
     """The entries (IDs as text) with ``n_pair``, ``n_rid`` and ``comp`` attached.
 
-    The entries are scanned once more for the pair aggregation; the per-ID
-    totals are summed from the pairs. Both are joined back with left joins
+    The entries are scanned once more for the pair aggregation, whose shuffle
+    serves twice: the per-ID totals are summed from the pairs. Both are joined back with left joins
     on unique, never-null keys, so every entry is kept exactly once, AQE
     can broadcast small statistics or split a skewed entry partition, and
     when a query reads none of the three columns Catalyst removes the joins
@@ -114,7 +114,10 @@ def attach_group_stats(df: DataFrame) -> DataFrame:
     j = (df.join(ids, (rk == ids["_irk"]) & (rn == ids["_irn"]), "left")
            .join(pairs, (rk == pairs["_rk"]) & (rn == pairs["_rn"])
                  & (ak == pairs["_ak"]) & (an == pairs["_an"]), "left"))
-    return j.drop("_irk", "_irn", "_rk", "_rn", "_ak", "_an", "_comp_pair")
+    # The pair's own flag is part of ``comp`` already. Read here, it makes both
+    # uses of the pair aggregation identical, so that its shuffle is reused.
+    return (j.withColumn("comp", F.col("comp") | F.col("_comp_pair"))
+             .drop("_irk", "_irn", "_rk", "_rn", "_ak", "_an", "_comp_pair"))
 
 
 def attach_id_stats(df: DataFrame) -> DataFrame:

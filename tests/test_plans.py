@@ -112,3 +112,18 @@ def _counts(spark, name):
     ("find_city", (2, 2, 1)), ("find_sku", (2, 2, 1)), ("find_buyer", (2, 2, 1)), ("match_counts", (99, 8, 4))])
 def test_plans_stay_small_without_broadcast(spark, name, most):
     assert all(a <= b for a, b in zip(_counts(spark, name), most)), _counts(spark, name)
+
+
+def test_classification_reuses_the_pair_shuffle(spark):
+    """Two scans of the entries and one shuffle of the pairs, used twice."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = q(spark, "classify_income")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("FileScan parquet") == 2 and plan.count("ReusedExchange") == 1, plan
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4
