@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
 from sellerlens.functions import text as T
-from sellerlens.operators import adhoc, chartdata, cleaning, income, reports, search
+from sellerlens.operators import adhoc, chartdata, cleaning, income, reports, search, searchindex
 from sellerlens.session import scratch_path
 from sellerlens.sinks.csv import read_csv, write_csv
 from sellerlens.sinks.json import write_json_array
+from sellerlens.sinks.tables import write_tables
 from sellerlens.sources import fixtures
 from sellerlens.sources.files import (INCOME_TYPES, ORDERS_TYPES, OVERVIEW_TYPES, Tables,
                                       conform, load_tables, read_json_table, read_table, row_counts)
@@ -65,6 +66,14 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _memoised("tables", spark, sf_dir, build)
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> searchindex.SearchIndex:
+    """The prepared tables, written and indexed once per session and folder."""
+    def build():
+        base = scratch_path(spark, "store")
+        return searchindex.build_index(spark, write_tables(tables(spark, sf_dir), base), f"{base}/index")
+    return _memoised("index", spark, sf_dir, build)
+
+
 def _pairs(df: DataFrame, raw_col, out_col) -> DataFrame:
     """Distinct (input value, output value) pairs of a cleaning step."""
     return df.select(raw_col.alias("raw"), out_col.alias("cleaned")).distinct()
@@ -195,6 +204,11 @@ QUERIES: dict[str, Query] = {
     "rewrite_rules_general": lambda s, d: _pairs(_orders_raw(s, d), c(N.SELLER_SKU),
                                                  M.rewrite_rules(c(N.SELLER_SKU), GENERAL_RULES)),
     "money_text": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLEMENT), T.money_text(c(N.SETTLEMENT))),
+    # searches through the value index
+    "indexed_find_order": lambda s, d: searchindex.find_by_order(s, search_index(s, d), S["order_id"]),
+    "indexed_find_city": lambda s, d: searchindex.find_by_city(s, search_index(s, d), S["city"]),
+    "indexed_find_sku": lambda s, d: searchindex.find_by_sku(s, search_index(s, d), S["sku_id"]),
+    "indexed_find_buyer": lambda s, d: searchindex.find_by_buyer(s, search_index(s, d), S["buyer"]),
     # reports and searches: see ON_TABLES
     # ad hoc SQL
     "adhoc_sql": adhoc_sql,

@@ -327,4 +327,6 @@ UNION ALL SELECT 'buyer', COUNT(*) FROM joined WHERE {q(N.BUYER)} = {lit(S['buye
                            f"{q(N.SUM_QTY)} / SUM({q(N.SUM_QTY)}) OVER () AS share FROM ({_Q2})"),
         "chart_traffic": _with(f"SELECT {q(N.MONTH_VN)}, {q(N.PAGE_VIEWS)}, {q(N.STORE_VISITS)} FROM ({_Q5})"),
     }
+    for name in ("find_order", "find_city", "find_sku", "find_buyer"):
+        out[f"indexed_{name}"] = out[name]
     return out
