@@ -45,6 +45,7 @@ SMALL = 8                 # documents of a column that gives all its pairs
 COMMON_ROWS = 200_000     # common n-grams that are told to every task
 CHUNK = 2_000_000         # n-grams counted together in the search for common ones
 STARS = 3                 # rounds of leaders before the remaining pairs
+LONG = 256                # documents left in a column that is split by distance
 BINS = 4                  # bins of the distance to a pivot; linked texts are one bin apart at most
 FIRST = 16                # columns of a document that tell where a pair is formed
 REMEMBERED = 200_000      # word hashes kept by one Python worker
@@ -351,16 +352,21 @@ def join(documents: DataFrame) -> DataFrame:
             # pivot, differ by more cannot link. So a column is split by the
             # distance to its pivot into bins of 1/4, and only texts of the
             # same or neighbouring bins meet.
-            far = cut(distances(documents, mixed), "distances")
+            # (In a short column that saves nothing.)
+            long = mixed.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > LONG)
+            long = cut(long.select("g", F.lit(1).alias("long")), "long")
+            mixed = cut(mixed.join(small_side(long), "g", "left"), "mixed")
+            far = cut(distances(documents, mixed.where("long = 1")), "distances")
             several = whole.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
             # A pair is formed in the first column both have, as far as each
             # document's first FIRST columns tell, not once for each column.
             first = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("g")), 1, FIRST).alias("f"))
             d = F.when(F.col("several").isNull(), F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-            each = (mixed.select("g", "doc_id", "n", "t", "root", "pivot").join(first, "doc_id")
+            each = (mixed.select("g", "doc_id", "n", "t", "root", "pivot", "long").join(first, "doc_id")
                     .join(small_side(far), ["doc_id", "pivot"], "left")
                     .join(several.select("doc_id", F.lit(1).alias("several")), "doc_id", "left").withColumn("d", d))
-            each = cut(each.withColumn("bin", F.floor(F.col("d") * BINS).cast("int")), "each")
+            each = each.withColumn("bin", F.when(F.col("long").isNull(), 0).otherwise(F.floor(F.col("d") * BINS).cast("int")))
+            each = cut(each.withColumn("d", F.when(F.col("long") == 1, F.col("d"))), "each")
             l, r = (each.select("g", "bin", *[F.col(c).alias(c + s) for c in ("doc_id", "n", "t", "root", "f", "d")]) for s in "ab")
             every = F.sequence(F.lit(0), F.lit(BINS))
             l = l.withColumn("bin", F.explode(F.when(F.col("bin").isNull(), every).otherwise(F.array("bin"))))

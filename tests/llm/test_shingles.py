@@ -106,6 +106,7 @@ def test_bins_of_the_distance_lose_no_link(spark, monkeypatch):
     chains of ever more edited texts, ids with several texts."""
     monkeypatch.setattr(shingles, "SMALL", 2)
     monkeypatch.setattr(shingles, "STARS", 0)
+    monkeypatch.setattr(shingles, "LONG", 12)
     r = random.Random(21)
     pool = [f"w{i}" for i in range(2000)]
     rows, passage = [], r.choices(pool, k=40)
