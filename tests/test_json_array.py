@@ -37,8 +37,8 @@ def wanted(given):
     return sorted(json.dumps(o, sort_keys=True) for o in given)
 
 
-@pytest.mark.parametrize("split", [37, 64, 200, 5000, 1 << 20])
-@pytest.mark.parametrize("style", ["dense", "lines", "ascii"])
+@pytest.mark.parametrize("split, style", [(37, "dense"), (64, "lines"), (200, "dense"), (200, "ascii"), (5000, "lines"),
+                                          (1 << 20, "dense")])
 def test_any_split_gives_all_elements(spark, tmp_path, split, style):
     given = objects(12 if split < 100 else 40 if split == 200 else 200)
     text = {"dense": json.dumps(given, ensure_ascii=False, separators=(",", ":")),

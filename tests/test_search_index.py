@@ -24,7 +24,7 @@ def both(spark, store, kind, value):
             getattr(X, f"find_by_{kind}")(spark, index, value))
 
 
-def some_values(t, column, n=4):
+def some_values(t, column, n=2):
     return [r[0] for r in t.orders.where(f"`{column}` IS NOT NULL").groupBy(f"`{column}`").count()
             .orderBy("count", column).limit(n).collect()]
 
@@ -40,13 +40,18 @@ def test_same_rows_from_fewer_files(spark, store, kind, column):
         assert len(opened) == len(holding) < len(t.orders.inputFiles())
 
 
-@pytest.mark.parametrize("text", ["đà nẵng", "ĐÀ N", "hồ chí", "nội", "a", "", "%", "h_ n%i", "à_n", "\\", "không có"])
-def test_provinces_by_pieces(spark, store, text):
+def test_provinces_by_pieces(spark, store):
     t, index = store
-    want = {r[0] for r in t.orders.where(search.city_condition(text)).select(N.PROVINCE).distinct().collect()}
-    assert set(X.provinces_like(spark, index, text)) == want
+    known = t.orders.select(N.PROVINCE).distinct().cache()
+    for text in ("đà nẵng", "ĐÀ N", "hồ chí", "nội", "a", "", "%", "h_ n%i", "à_n", "\\", "không có"):
+        want = {r[0] for r in known.where(search.city_condition(text)).collect()}
+        assert set(X.provinces_like(spark, index, text)) == want, text
+
+
+@pytest.mark.parametrize("text", ["ĐÀ N", "không có", "%"])
+def test_same_rows_of_a_city(spark, store, text):
     plain, indexed = both(spark, store, "city", text)
-    assert indexed.count() == plain.count()
+    assert sorted(rows(indexed), key=repr) == sorted(rows(plain), key=repr)
 
 
 def test_many_buckets_and_many_orders(spark, store, tmp_path, monkeypatch):
