@@ -121,7 +121,7 @@ def test_classification_reuses_the_pair_shuffle(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        plan = q(spark, "classify_income")._jdf.queryExecution().executedPlan().toString()
+        plan = q(spark, "classify_income").select("*")._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
