@@ -101,12 +101,11 @@ def test_other_text_of_a_copy_still_links(spark):
     assert got == brute(rows) and {c for _, _, c in got} == {3}
 
 
-def test_bins_of_the_distance_lose_no_link(spark, monkeypatch):
+def test_all_pairs_of_the_last_round_lose_no_link(spark, monkeypatch):
     """All pairs of long columns in the last round, without leaders before:
     chains of ever more edited texts, ids with several texts."""
     monkeypatch.setattr(shingles, "SMALL", 2)
     monkeypatch.setattr(shingles, "STARS", 0)
-    monkeypatch.setattr(shingles, "LONG", 12)
     r = random.Random(21)
     pool = [f"w{i}" for i in range(2000)]
     rows, passage = [], r.choices(pool, k=40)
