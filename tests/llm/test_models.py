@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sellerlens.llm import ann, langid, mixing, pieces, quality
-from sellerlens.llm.queries import MIX_TARGETS, QUERIES, ORACLE_SQL
+from sellerlens.llm.queries import MIX_SHARE, MIX_TARGETS, QUERIES, ORACLE_SQL
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.01"
@@ -65,17 +65,57 @@ CELLS = pd.DataFrame({"source": list("aabbcc"), "lang": ["x", "y"] * 3, "n": [10
 TARGETS = {"source": 0.5, "lang": {"x": 0.5, "y": 0.5}}
 
 
-def test_raking_meets_the_marginals(spark):
-    w = mixing.rake(CELLS, ["source", "lang"], TARGETS)
-    got = CELLS.assign(w=w)
+def test_raking_meets_the_marginals():
+    x = mixing.rake(CELLS, ["source", "lang"], TARGETS, 0.1)
+    got = CELLS.assign(w=x / x.sum())
     root = CELLS.groupby("source").n.sum() ** 0.5
+    assert abs(x.sum() - 0.1 * CELLS.n.sum()) < 1e-6
     assert np.allclose(got.groupby("source").w.sum(), root / root.sum(), atol=1e-6)
     assert np.allclose(got.groupby("lang").w.sum(), 0.5, atol=1e-6)
-    t = mixing.rake_table(spark.createDataFrame(CELLS), ["source", "lang"], TARGETS).toPandas()
-    both = got.merge(t, on=["source", "lang", "n"])
-    assert len(both) == 6 and np.allclose(both.w_x, both.w_y, atol=1e-6)
-    p = mixing.probabilities(CELLS, w, 0.6)
-    assert ((0 <= p) & (p <= 1)).all() and abs((p * CELLS.n).sum() - 0.6 * CELLS.n.sum()) < 1e-6
+
+
+def test_bounded_raking_is_the_nearest_mix(spark):
+    """At the marginals after capping, and no other mix with them is nearer to
+    the given one (Kullback-Leibler): moves that keep all marginals only harm."""
+    r = np.random.default_rng(3)
+    cells = pd.DataFrame([(a, b, c) for a in "abcd" for b in "xyz" for c in "pq"], columns=["s", "l", "t"])
+    cells["n"] = r.integers(200, 4000, len(cells))
+    n, share = cells.n.to_numpy(float), 0.7
+    aims = {"s": 0.4, "l": {"x": 0.4, "y": 0.33, "z": 0.27}, "t": 0.8}
+    x = mixing.rake(cells, list(aims), aims, share)
+    assert (x <= n + 1e-9).all() and (x >= n - 1e-9).any()
+    for d in aims:
+        have = cells.assign(x=x).groupby(d).x.sum()
+        want = mixing._targets(cells.groupby(d).n.sum().astype(float).to_dict(), aims[d], share)
+        assert all(abs(have[v] - want[v][1]) < 1e-5 * n.sum() for v in have.index)
+
+    def far(y):
+        return (y * np.log(y / n) - y).sum()
+
+    at = {k: i for i, k in enumerate(zip(cells.s, cells.l, cells.t))}
+    for s1, s2, l1, l2, t in [(a, b, c, d, t) for a in "abcd" for b in "abcd" for c in "xyz" for d in "xyz" for t in "pq" if a < b and c != d]:
+        y = x.copy()
+        for s, l, sign in ((s1, l1, 1), (s2, l2, 1), (s1, l2, -1), (s2, l1, -1)):
+            y[at[s, l, t]] += sign * 0.5
+        assert (y > n + 1e-9).any() or far(y) >= far(x) - 1e-9
+    t = mixing.rake_table(spark.createDataFrame(cells), list(aims), aims, share).toPandas()
+    both = cells.assign(x=x).merge(t, on=["s", "l", "t", "n"])
+    assert len(both) == len(cells) and np.allclose(both.x_x, both.x_y, atol=1e-6 * n.sum())
+
+
+def test_marginals_are_reported_after_capping(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    t = mixing.mix(docs, MIX_TARGETS, MIX_SHARE)
+    told = {(r.dimension, r.value): r for r in mixing.marginals(docs, MIX_TARGETS, MIX_SHARE).collect()}
+    whole = t.agg(F.sum("__tokens")).first()[0] * MIX_SHARE
+    for d in ("lang", "source"):
+        for r in t.groupBy(d).agg(F.sum(F.col("__tokens") * F.col("__probability")).alias("x")).collect():
+            assert abs(told[d, r[d]].achieved - r.x / whole) < 1e-9
+    assert all(abs(r.achieved - r.reachable) < 0.005 for r in told.values())
+    assert all(r.reachable >= r.wanted - 1e-12 or abs(r.achieved - r.reachable) < 1e-6 for r in told.values())
+    own = mixing.mix(docs, {"topic": {"short": 0.5, "long": 0.5}}, 0.1, topic_of=F.when(F.length("text") < 900, "short").otherwise("long"))
+    x = own.groupBy(F.length("text") < 900).agg(F.sum(F.col("__tokens") * F.col("__probability")).alias("x")).toPandas().x
+    assert len(x) == 2 and abs(x[0] / x[1] - 1) < 1e-6
 
 
 def test_mixing_samples_the_wanted_share(spark):
@@ -84,10 +124,11 @@ def test_mixing_samples_the_wanted_share(spark):
     whole, expected, sampled = t.agg(F.sum("__tokens"), F.sum(F.col("__tokens") * F.col("__probability")),
                                      F.sum(F.when(F.col("__sampled"), F.col("__tokens")))).first()
     assert t.count() == 1000 and abs(expected / whole - 0.5) < 1e-6 and abs(sampled / whole - 0.5) < 0.08
-    many = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5, cells_on_driver=0).select("doc_id", "__probability").toPandas()
-    few = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5).select("doc_id", "__probability").toPandas()
+    many = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5, cells_on_driver=0).select("doc_id", "__probability", "__sampled").toPandas()
+    few = mixing.mix(docs, {"lang": MIX_TARGETS["lang"]}, 0.5).select("doc_id", "__probability", "__sampled").toPandas()
     both = many.merge(few, on="doc_id")
-    assert len(both) == 1000 and np.allclose(both.iloc[:, 1], both.iloc[:, 2], atol=1e-6)
+    assert len(both) == 1000 and np.allclose(both.iloc[:, 1], both.iloc[:, 3], atol=1e-6)
+    assert (both.iloc[:, 2] == both.iloc[:, 4]).all()
 
 
 def test_mixing_awkward(spark):
