@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
 from sellerlens.functions import text as T
-from sellerlens.operators import adhoc, chartdata, cleaning, income, reports, search, searchindex
+from sellerlens.operators import adhoc, chartdata, cleaning, income, incomestate, reports, search, searchindex
 from sellerlens.session import scratch_path
 from sellerlens.sinks.csv import read_csv, write_csv
 from sellerlens.sinks.json import write_json_array
@@ -117,6 +117,18 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, o.schema, multi_line=True)
 
 
+BATCHES = 3
+
+
+def classify_income_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IN-2 … IN-10 kept up to date: all entries, added in several batches."""
+    inc, base = raw(spark, sf_dir)[1], scratch_path(spark, "income-state")
+    turn = F.pmod(F.xxhash64(c(N.ADJUSTMENT_ID)), F.lit(BATCHES))
+    for i in range(BATCHES):
+        incomestate.add_batch(spark, base, inc.where(turn == i), f"batch-{i}", buckets=16)
+    return incomestate.read_entries(spark, base)
+
+
 ADHOC_EXAMPLE = (
     'SELECT strftime("Created_Timestamp", \'%Y-%m\') AS "Tháng", "SKU Category" AS "Loại sản phẩm", '
     'SUM("Quantity") AS "Total_Quantity", '
@@ -201,6 +213,7 @@ QUERIES: dict[str, Query] = {
     "order_type": lambda s, d: _ids(income.order_type(_income_raw(s, d)), N.ORDER_TYPE),
     "settled_date": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLED_TIME), T.settled_date(c(N.SETTLED_TIME))),
     "classify_income": lambda s, d: tables(s, d).income,
+    "classify_income_batches": classify_income_batches,
     "rewrite_rules_general": lambda s, d: _pairs(_orders_raw(s, d), c(N.SELLER_SKU),
                                                  M.rewrite_rules(c(N.SELLER_SKU), GENERAL_RULES)),
     "money_text": lambda s, d: _pairs(_income_raw(s, d), c(N.SETTLEMENT), T.money_text(c(N.SETTLEMENT))),

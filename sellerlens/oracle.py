@@ -265,6 +265,7 @@ def _queries() -> dict[str, str]:
                                      f"CAST(try_strptime({q(N.SETTLED_TIME)}, {SETTLED_FMT}) AS DATE)",
                                      "mkt_income")),
         "classify_income": _with("SELECT * FROM c_income"),
+        "classify_income_batches": _with("SELECT * FROM c_income"),
         # reports
         "orders_by_month": _with(_Q1),
         "sku_summary": _with(_Q2),
