@@ -1,11 +1,12 @@
 """URL filtering: explicit host/path rules, then a path-template tree.
 
-The tree is built per host, one path segment deeper at a time. Segments that
-look like identifiers become ``*`` at once; where a node still has many
-children, the unlabelled and similar ones become ``*`` too; children whose share of rejected labelled
-pages does not differ significantly from their siblings' are merged into one
-branch. A template is rejected when its labelled purity, smoothed towards its
-host's and the host's towards the whole table's, reaches a threshold.
+The tree is built per host. Segments that look like identifiers become ``*``
+at once; among siblings, those whose share of rejected labelled pages does not
+differ significantly from that of all of them, or that have no labels, are
+merged into the branch ``*``. A template is rejected when its labelled purity, smoothed towards its
+host's and the host's towards the whole table's, reaches a threshold. Neither
+the number of children nor the depth of a path changes how it is judged.
+Paths, nodes and templates are joined by 64-bit hashes.
 
 Labels are the explicit rules' verdicts unless the caller gives others.
 Pages are first aggregated to distinct (host, generalised path) rows with
@@ -22,9 +23,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sellerlens.llm.work import cut
+from sellerlens.llm.work import add_unique, cut
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Identifier-like segments: digits, dates, hexadecimal, UUIDs, with or without
@@ -45,8 +46,7 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class TreeParams:
-    max_depth: int = 12        # beyond, segments share "**" unless their labels differ
-    max_children: int = 24     # a node with more children merges unlabelled ones, too
+    rounds: int = 3            # decisions on the names of all levels, each on the last one's names
     z: float = 1.96            # branches differing by less are merged
     prior: float = 4.0         # labelled pages the host's purity counts for
     threshold: float = 0.5     # rejected share at which a template is rejected
@@ -74,39 +74,48 @@ def _shape(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(VARIABLE)), F.lit("*")).otherwise(s))
 
 
-def build_tree(shapes: DataFrame, p: TreeParams) -> DataFrame:
-    """From rows (host, shape, n, labelled, bad) to (host, shape, template).
+def _names(segs: DataFrame, p: TreeParams) -> DataFrame:
+    """``segs`` (sid, host, d, seg, labelled, bad, name) with new names: one
+    decision for every child of every node of all levels, a node being the
+    host and the present names before the segment."""
+    before = Window.partitionBy("sid").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    # The names before as one number, in one pass over the path.
+    node = F.coalesce(F.bit_xor(F.xxhash64("d", "name")).over(before), F.lit(0))
+    here = segs.select("sid", "host", "d", "seg", "labelled", "bad", F.xxhash64("host", "d", node).alias("node"))
+    here = cut(here.withColumn("kid", F.xxhash64("node", "seg")), "segments")
+    kids = here.groupBy("node", "kid").agg(F.min("seg").alias("seg"), F.sum("labelled").alias("labelled"),
+                                           F.sum("bad").alias("bad"), F.count("*").alias("c"))
+    nodes = kids.groupBy("node").agg(F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"),
+                                     F.sum("bad").alias("all_bad"))
+    rate = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
+    own = F.col("bad") / F.greatest("labelled", F.lit(1))
+    spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.greatest("labelled", F.lit(1)))
+    similar = (F.col("labelled") == 0) | (F.abs(own - rate) <= p.z * spread)
+    name = F.when((F.col("seg") == "*") | ((F.col("children") > 1) & similar), F.lit("*")).otherwise(F.col("seg"))
+    many = cut(nodes, "nodes").withColumnRenamed("children", "node_children")
+    named = add_unique(cut(kids, "kids"), many, "node", "node_children").withColumnRenamed("node_children", "children")
+    named = cut(named.select("kid", name.alias("name"), "c"), "names")
+    return cut(add_unique(here, named, "kid", "c").drop("node", "kid", "c"), "tree")
+
 
-    One level per step: each step aggregates the children of every node and
-    decides which keep their name. From ``max_depth`` on only nodes whose
-    pages have both labels go on; the others end in "**".
+def build_tree(shapes: DataFrame, p: TreeParams) -> DataFrame:
+    """From rows (sid, host, shape, labelled, bad) to the same with ``template``.
+
+    Whether a segment keeps its name is decided by the pages that agree in the
+    names before it. Names before a segment may become wildcards, which pools
+    the pages of several nodes, so the decision of all levels is taken
+    ``rounds`` times, each with the names of the last one: names that rest on
+    fewer than ``rounds`` changes before them are those of a tree built level
+    by level. The number of jobs depends on neither depth nor width.
     """
-    depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    t = shapes.withColumn("template", F.lit("")).withColumn("ended", F.lit(False))
-    for d in range(depth):
-        if d > p.max_depth and t.where(~F.col("ended") & (F.size("shape") > d)).isEmpty():
-            break
-        here = t.withColumn("seg", F.when(~F.col("ended"), F.get("shape", F.lit(d))))
-        kids = (here.where("seg IS NOT NULL").groupBy("host", "template", "seg")
-                .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
-        nodes = (kids.groupBy("host", "template")
-                 .agg(F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"),
-                      F.sum("bad").alias("all_bad")))
-        rate = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
-        own = F.col("bad") / F.greatest("labelled", F.lit(1))
-        spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.greatest("labelled", F.lit(1)))
-        similar = (F.col("labelled") == 0) | (F.abs(own - rate) <= p.z * spread)
-        many = (F.col("children") > p.max_children) | ((F.col("children") > 1) & (F.col("all_labelled") > 0))
-        name = F.when((F.col("seg") == "*") | (many & similar), F.lit("*")).otherwise(F.col("seg"))
-        ends = F.lit(d >= p.max_depth) & ((F.col("all_bad") == 0) | (F.col("all_bad") == F.col("all_labelled")))
-        name = F.when(ends, F.lit("**")).otherwise(name)
-        named = (kids.join(nodes, ["host", "template"])
-                 .select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("next"), ends.alias("ends")))
-        t = (here.join(named, ["host", "template", "seg"], "left")
-             .select("host", "shape", "n", "labelled", "bad", F.coalesce("next", "template").alias("template"),
-                     (F.col("ended") | F.coalesce("ends", F.lit(False))).alias("ended")))
-        t = cut(t, "tree")
-    return t.drop("ended")
+    segs = shapes.select("sid", "host", "labelled", "bad", F.posexplode("shape").alias("d", "seg"))
+    segs = segs.withColumn("name", F.col("seg"))
+    for _ in range(p.rounds):
+        segs = _names(segs, p)
+    # A group is one path's segments.
+    path = F.array_sort(F.collect_list(F.struct("d", "name")))
+    names = segs.groupBy("sid").agg(F.concat(F.lit("/"), F.array_join(F.transform(path, lambda x: x["name"]), "/")).alias("template"))
+    return cut(shapes.join(names, "sid", "left").withColumn("template", F.coalesce("template", F.lit(""))), "templates")
 
 
 def judge(pages: DataFrame, rules, labels: DataFrame | None = None, params: TreeParams = TreeParams()) -> DataFrame:
@@ -123,20 +132,24 @@ def judge(pages: DataFrame, rules, labels: DataFrame | None = None, params: Tree
     else:
         given = labels.groupBy("page_id").agg(F.max("bad").alias("bad"))
         marked = p.join(given, "page_id", "left")
-    shapes = cut(marked.groupBy("host", "shape").agg(
+    shapes = marked.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
-    tree = build_tree(shapes, params)
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    shapes = cut(shapes.withColumn("sid", F.xxhash64("host", F.array_join("shape", "/"))), "shapes")
+    tree = build_tree(shapes, params).withColumn("tid", F.xxhash64("host", "template"))
     whole = shapes.agg(((F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("overall"))
-    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"),
+                                       F.count("*").alias("host_c"))
+    sums = tree.groupBy("tid").agg(F.min("host").alias("host"), F.sum("labelled").alias("labelled"),
+                                   F.sum("bad").alias("bad"), F.count("*").alias("c"))
     overall = whole.first()[0]
     k = params.prior
     host_rate = (F.col("host_bad") + k * F.lit(0.5 if overall is None else overall)) / (F.col("host_labelled") + k)
-    purity = (sums.join(hosts, "host")
-              .select("host", "template", ((F.col("bad") + k * host_rate) / (F.col("labelled") + k)).alias("purity")))
-    branch = tree.select("host", "shape", "template").join(purity, ["host", "template"])
-    return (p.join(branch, ["host", "shape"], "left")
-            .select("page_id", "host", "path", "rule",
-                    F.coalesce("ruled", F.when(F.col("purity") >= params.threshold, "block").otherwise("allow"))
-                    .alias("verdict"), "template", "purity"))
+    rated = add_unique(cut(sums, "sums"), cut(hosts, "hosts"), "host", "host_c")
+    purity = cut(rated.select("tid", "c", ((F.col("bad") + k * host_rate) / (F.col("labelled") + k)).alias("purity")), "purity")
+    branch = cut(add_unique(tree.select("sid", "tid", "template", "n"), purity, "tid", "c").drop("tid", "c"), "branches")
+    judged = add_unique(p.withColumn("sid", F.xxhash64("host", F.array_join("shape", "/"))), branch, "sid", "n")
+    return judged.select(
+        "page_id", "host", "path", "rule",
+        F.coalesce("ruled", F.when(F.col("purity") >= params.threshold, "block").otherwise("allow")).alias("verdict"),
+        "template", "purity")

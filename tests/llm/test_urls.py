@@ -1,3 +1,10 @@
+import math
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
 from sellerlens.llm import urls
 from sellerlens.llm.queries import URL_RULES
 
@@ -61,3 +68,74 @@ def test_differing_sections_survive_many_children_and_depth(spark):
     labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad) if i % 2], "page_id long, bad int")
     out = {r.page_id: r.verdict for r in urls.judge(frame(spark, given), [], labels).collect()}
     assert [out[i] == "block" for i in range(len(given))] == [bool(b) for b in bad]
+
+
+def brute_templates(given, bad, p):
+    """Template and purity of every url by plain loops over the same rounds."""
+    at = [brute(u) for u in given]
+    shapes = [["*" if re.search(urls.VARIABLE, s) else s for s in path.split("/") if s] for _, path in at]
+    names = [list(s) for s in shapes]
+    for _ in range(p.rounds):
+        kids = defaultdict(lambda: [0, 0])
+        for (host, _), shape, name, b in zip(at, shapes, names, bad):
+            for d, seg in enumerate(shape):
+                k = kids[(host, tuple(name[:d])), seg]
+                k[0] += b is not None
+                k[1] += b or 0
+        nodes = defaultdict(list)
+        for (node, seg), k in kids.items():
+            nodes[node].append(k)
+
+        def rename(node, seg):
+            all_l, all_b = (sum(k[i] for k in nodes[node]) for i in (0, 1))
+            n, b = kids[node, seg]
+            rate = all_b / max(all_l, 1)
+            spread = math.sqrt(max(rate * (1 - rate), 1e-9) / max(n, 1))
+            like = n == 0 or abs(b / max(n, 1) - rate) <= p.z * spread
+            return "*" if seg == "*" or len(nodes[node]) > 1 and like else seg
+
+        names = [[rename((host, tuple(name[:d])), seg) for d, seg in enumerate(shape)]
+                 for (host, _), shape, name in zip(at, shapes, names)]
+    templates = ["".join("/" + x for x in n) for n in names]
+    known = [b for b in bad if b is not None]
+    overall = (sum(known) + 1) / (len(known) + 2)
+
+    def count(same):
+        own = [b for i, b in enumerate(bad) if same(i) and b is not None]
+        return len(own), sum(own)
+
+    out = []
+    for i, (host, _) in enumerate(at):
+        n, b = count(lambda j: at[j][0] == host)
+        m, c = count(lambda j: at[j][0] == host and templates[j] == templates[i])
+        out.append((templates[i], (c + p.prior * (b + p.prior * overall) / (n + p.prior)) / (m + p.prior)))
+    return out
+
+
+def test_templates_purity_and_verdict_against_brute_force(spark):
+    r = random.Random(3)
+    given, bad = list(GIVEN), [None] * len(GIVEN)
+    for _ in range(500):
+        host = r.choice(["hot.net"] * 3 + ["b.net", "c.org"])
+        user = f"u{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}x"
+        parts = r.choice([["user", user, r.choice(["spam", "home"]), str(r.randrange(99))], ["news", str(r.randrange(99))],
+                          ["shop", r.choice(["cheap", "fair", "old"]), user], []])
+        given.append(f"http://{host}/" + "/".join(parts))
+        odds = 0.95 if "spam" in parts or "cheap" in parts else 0.05
+        bad.append(int(r.random() < odds) if r.random() < 0.6 else None)
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad) if b is not None], "page_id long, bad int")
+    out = {x.page_id: x for x in urls.judge(frame(spark, given), [], labels).collect()}
+    want = brute_templates(given, bad, urls.TreeParams())
+    assert len(out) == len(given) and "/user/*/spam/*" in {t for t, _ in want}
+    for i, (template, purity) in enumerate(want):
+        assert out[i].template == template and out[i].purity == pytest.approx(purity, abs=1e-12)
+        assert out[i].verdict == ("block" if purity >= 0.5 else "allow")
+
+
+def test_very_deep_paths_with_mixed_labels(spark):
+    """The work does not grow with the depth: 5,000 segments, a label change at the end."""
+    deep = "/".join(f"d{'abcdefghij'[i % 10]}x" for i in range(5000))
+    given = [f"http://t.net/{deep}/{s}/{i}" for s in ("good", "bad") for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i >= 20)) for i in range(0, 40, 2)], "page_id long, bad int")
+    out = {x.page_id: x.verdict for x in urls.judge(frame(spark, given), [], labels).collect()}
+    assert [out[i] for i in range(40)] == ["allow"] * 20 + ["block"] * 20
