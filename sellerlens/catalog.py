@@ -18,6 +18,7 @@ from sellerlens.functions import mapping as M
 from sellerlens.functions import text as T
 from sellerlens.operators import adhoc, chartdata, cleaning, income, incomestate, reports, search, searchindex
 from sellerlens.session import scratch_path
+from sellerlens.sinks.colocated import Colocated, write_colocated
 from sellerlens.sinks.csv import read_csv, write_csv
 from sellerlens.sinks.json import write_json_array
 from sellerlens.sinks.tables import write_tables
@@ -74,6 +75,14 @@ def search_index(spark: SparkSession, sf_dir: str) -> searchindex.SearchIndex:
     return _memoised("index", spark, sf_dir, build)
 
 
+def colocated(spark: SparkSession, sf_dir: str) -> Colocated:
+    """Lines and entries stored by order ID, once per session and folder."""
+    def build():
+        base = scratch_path(spark, "colocated")
+        return write_colocated(spark, tables(spark, sf_dir), base, "colocated_" + base.rsplit("/", 1)[1])
+    return _memoised("colocated", spark, sf_dir, build)
+
+
 def _pairs(df: DataFrame, raw_col, out_col) -> DataFrame:
     """Distinct (input value, output value) pairs of a cleaning step."""
     return df.select(raw_col.alias("raw"), out_col.alias("cleaned")).distinct()
@@ -266,4 +275,16 @@ def _on_tables(name: str) -> Query:
 
 QUERIES.update({name: _on_tables(name) for name in ON_TABLES})
 
+
+def _on_colocated(report) -> Query:
+    def run(spark, sf_dir):
+        store = colocated(spark, sf_dir)
+        return report(store.orders, store.income, more=store.parts[1:])
+    return run
+
+
+# The join reports without a shuffle for the join.
+COLOCATED = ("top_buyers", "top_provinces", "adjustments", "region_analysis", "product_analysis")
+QUERIES.update({f"colocated_{name}": _on_colocated(getattr(reports, name)) for name in COLOCATED})
+
 FLAGSHIP = "orders_by_month"

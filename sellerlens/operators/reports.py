@@ -14,6 +14,7 @@ Conventions, kept in every report:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from sellerlens import names as N
 from sellerlens.functions.exact import exact_avg, exact_sum, exact_sum_of_lanes
 from sellerlens.functions.text import money_text, sku_category
-from sellerlens.plans.joins import join_entries, lines_per_order, order_income
+from sellerlens.plans.joins import Parts, joined_lines, order_income
 
 c = N.c
 
@@ -116,48 +117,49 @@ def traffic_by_month(overview: DataFrame, lenient: bool = False) -> DataFrame:
 # ---------------------------------------------------------------- on demand
 
 
-def top_by_joined_rows(orders: DataFrame, income: DataFrame, key: str, k: int = 10) -> DataFrame:
+def top_by_joined_rows(orders: DataFrame, income: DataFrame, key: str, k: int = 10, more: Parts = ()) -> DataFrame:
     """Top ``k`` values of ``key`` among completed lines by *joined rows*
     (lines x entries), as ``COUNT("Order ID")`` over the join counts them."""
     where = (c(N.ORDER_STATUS) == F.lit(N.STATUS_COMPLETED)) & c(key).isNotNull()
-    j = join_entries(lines_per_order(orders, [key], where=where), income)
+    j = joined_lines([(orders, income), *more], [key], where=where)
     return (j.groupBy(c(key).alias(key))
              .agg(F.sum(F.col("n_lines") * F.col("n_inc")).alias(N.TOTAL_ORDERS))
              .orderBy(F.desc_nulls_last(c(N.TOTAL_ORDERS)), F.asc_nulls_last(c(key)))
              .limit(k))
 
 
-def top_buyers(orders: DataFrame, income: DataFrame, k: int = 10) -> DataFrame:
+def top_buyers(orders: DataFrame, income: DataFrame, k: int = 10, more: Parts = ()) -> DataFrame:
     """Q6: the ``k`` buyers with most joined completed rows."""
-    return top_by_joined_rows(orders, income, N.BUYER, k)
+    return top_by_joined_rows(orders, income, N.BUYER, k, more)
 
 
-def top_provinces(orders: DataFrame, income: DataFrame, k: int = 10) -> DataFrame:
+def top_provinces(orders: DataFrame, income: DataFrame, k: int = 10, more: Parts = ()) -> DataFrame:
     """Q7: the ``k`` provinces with most joined completed rows."""
-    return top_by_joined_rows(orders, income, N.PROVINCE, k)
+    return top_by_joined_rows(orders, income, N.PROVINCE, k, more)
 
 
 ADJUSTMENT_COLUMNS = [N.ORDER_ID, N.TYPE, N.ORDER_STATUS, N.SKU_CATEGORY, N.QUANTITY,
                       N.TOTAL_REVENUE, N.SETTLEMENT, N.CREATED_TIME]
 
 
-def adjustments(orders: DataFrame, income: DataFrame) -> DataFrame:
+def adjustments(orders: DataFrame, income: DataFrame, more: Parts = ()) -> DataFrame:
     """Q8: joined rows of compensated orders whose entry type is not 'Order'
     (a null type is dropped here, by SQL comparison), newest first.
 
     An entry with another type makes its own order a compensation, so the
     type test implies the label and the classification is not needed.
     """
-    other = income.where(c(N.TYPE) != F.lit(N.TYPE_ORDER))
-    return (order_income(orders, other)
+    other = c(N.TYPE) != F.lit(N.TYPE_ORDER)
+    joined = [order_income(o, i.where(other)) for o, i in [(orders, income), *more]]
+    return (reduce(DataFrame.unionByName, joined)
              .orderBy(F.desc_nulls_last(c(N.CREATED_TS)), F.asc_nulls_last(c(N.ORDER_ID)))
              .select(*[c(x) for x in ADJUSTMENT_COLUMNS]))
 
 
 def _joined_group_report(orders: DataFrame, income: DataFrame, keys: Sequence[str],
-                         returned_as_rate: bool, also: str | None = None) -> DataFrame:
+                         returned_as_rate: bool, also: str | None = None, more: Parts = ()) -> DataFrame:
     ret = _is(N.RETURN_TYPE, N.RETURN_REFUND)
-    j = join_entries(lines_per_order(orders, keys, {"n_ret": ret}), income)
+    j = joined_lines([(orders, income), *more], keys, {"n_ret": ret})
     joined_rows = F.col("n_lines") * F.col("n_inc")
     returned_rows = F.col("n_ret") * F.col("n_inc")
     returned = (F.sum(returned_rows) / F.sum(joined_rows) if returned_as_rate
@@ -171,13 +173,13 @@ def _joined_group_report(orders: DataFrame, income: DataFrame, keys: Sequence[st
     return out.orderBy(F.desc_nulls_last(c(N.REVENUE)), *[F.asc_nulls_last(c(k)) for k in keys])
 
 
-def region_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
+def region_analysis(orders: DataFrame, income: DataFrame, more: Parts = ()) -> DataFrame:
     """Q9: per province: distinct orders with entries, revenue over the join,
     share of joined rows that are returns."""
-    return _joined_group_report(orders, income, [N.PROVINCE], returned_as_rate=True)
+    return _joined_group_report(orders, income, [N.PROVINCE], returned_as_rate=True, more=more)
 
 
-def product_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
+def product_analysis(orders: DataFrame, income: DataFrame, more: Parts = ()) -> DataFrame:
     """Q10: per (product, seller SKU, category): distinct orders, revenue
     over the join, joined rows that are returns.
 
@@ -185,7 +187,7 @@ def product_analysis(orders: DataFrame, income: DataFrame) -> DataFrame:
     is computed for the result rows and stays out of the shuffled keys.
     """
     out = _joined_group_report(orders, income, [N.PRODUCT_NAME, N.SELLER_SKU], returned_as_rate=False,
-                               also=N.SKU_CATEGORY)
+                               also=N.SKU_CATEGORY, more=more)
     return out.select(*[c(x) for x in (N.PRODUCT_NAME, N.SELLER_SKU, N.SKU_CATEGORY, N.N_ORDERS,
                                        N.REVENUE, N.N_RETURNED)])
 

@@ -330,4 +330,6 @@ UNION ALL SELECT 'buyer', COUNT(*) FROM joined WHERE {q(N.BUYER)} = {lit(S['buye
     }
     for name in ("find_order", "find_city", "find_sku", "find_buyer"):
         out[f"indexed_{name}"] = out[name]
+    for name in ("top_buyers", "top_provinces", "adjustments", "region_analysis", "product_analysis"):
+        out[f"colocated_{name}"] = out[name]
     return out

@@ -20,6 +20,7 @@ Two plans are used:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ from sellerlens import names as N
 from sellerlens.operators.income import income_by_order
 
 
+# Pairs of order lines and settlement entries. An order ID is in one pair only,
+# so that the join of all is the union of the pairs' joins.
+Parts = Sequence[tuple[DataFrame, DataFrame]]
+
+
 def _dedupe_names(left: Sequence[str], right: Sequence[str]) -> dict[str, str]:
     """Right-hand names renamed like a pandas fetch of ``SELECT *``: ``x_1``."""
     taken = set(left)
@@ -74,3 +80,10 @@ def join_entries(lines: DataFrame, income: DataFrame) -> DataFrame:
     ``n_inc`` and the revenue lanes of their order attached (inner join)."""
     per_order = income_by_order(income)
     return lines.join(per_order, lines["_oid"] == per_order["_rid"], "inner")
+
+
+def joined_lines(parts: Parts, keys: Sequence[Column | str], measures: Mapping[str, Column] | None = None,
+                 where: Column | None = None) -> DataFrame:
+    """:func:`join_entries` of the lines and entries of all ``parts``."""
+    return reduce(DataFrame.unionByName,
+                  [join_entries(lines_per_order(o, keys, measures, where), i) for o, i in parts])
