@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
 from sellerlens.functions import text as T
-from sellerlens.operators import adhoc, chartdata, cleaning, income, incomestate, reports, search, searchindex
+from sellerlens.operators import adhoc, apportion, chartdata, cleaning, income, incomestate, reports, search, searchindex
 from sellerlens.session import scratch_path
 from sellerlens.sinks.colocated import Colocated, write_colocated
 from sellerlens.sinks.csv import read_csv, write_csv
@@ -256,6 +256,10 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "product_analysis_text": lambda t: reports.with_money_text(reports.product_analysis(t.orders, t.income)),
     "error_by_month": lambda t: reports.error_by_month(t.orders),
     "error_list": lambda t: reports.error_list(t.orders),
+    "settlement_by_line": lambda t: apportion.share_out(t.orders, t.income).select(
+        c(N.ORDER_ID), c(N.SKU_ID), c(N.QUANTITY), (c(apportion.SHARE) / float(apportion.UNITS)).alias(apportion.SHARE)),
+    "settlement_by_category": lambda t: apportion.settled_by(t.orders, t.income, N.SKU_CATEGORY),
+    "settlement_by_province": lambda t: apportion.settled_by(t.orders, t.income, N.PROVINCE),
     "find_order": lambda t: search.find_by_order(t.orders, t.income, S["order_id"], t.entries),
     "find_city": lambda t: search.find_by_city(t.orders, t.income, S["city"]),
     "find_sku": lambda t: search.find_by_sku(t.orders, t.income, S["sku_id"]),

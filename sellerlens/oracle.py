@@ -16,6 +16,7 @@ from sellerlens import names as N
 from sellerlens.functions import mapping as M
 from sellerlens.functions.text import PY_SPACE
 from sellerlens.sources import fixtures as FX
+from sellerlens.operators import apportion as AP
 from sellerlens.operators.search import DEFAULT_SEARCH
 
 
@@ -225,6 +226,31 @@ def bodies() -> dict[str, str]:
         _PREFIX[0] = PREFIX
 
 
+_UNITS_OF = f"CAST(round({q(N.SETTLEMENT)} * 100) AS BIGINT)"
+_LINE_ORDER = ", ".join(f"{q(x)} NULLS FIRST" for x in [*N.ORDER_COLUMNS, N.SKU_CATEGORY, N.CREATED_TS, N.ORDER_MONTH])
+
+# Each order's settlement over its lines in hundredths, by largest remainder.
+_SHARES = f""", sh_t AS (SELECT {RID} AS sid, CAST(coalesce(sum({_UNITS_OF}), 0) AS HUGEINT) AS total
+  FROM c_income WHERE {RID} IS NOT NULL GROUP BY 1),
+sh_l AS (SELECT o.*, total, row_number() OVER (ORDER BY {_LINE_ORDER}) AS line_no,
+  CAST(round(1000 * greatest(coalesce({q(N.QUANTITY)}, 0), 0)) AS HUGEINT) AS w0 FROM c_orders o LEFT JOIN sh_t ON sid = {q(N.ORDER_ID)}),
+sh_w AS (SELECT *, CASE WHEN sum(w0) OVER p = 0 THEN 1 ELSE w0 END AS w FROM sh_l WINDOW p AS (PARTITION BY {q(N.ORDER_ID)})),
+sh_s AS (SELECT *, CAST(sum(w) OVER p AS HUGEINT) AS whole FROM sh_w WINDOW p AS (PARTITION BY {q(N.ORDER_ID)})),
+sh_f AS (SELECT *, abs(total) * w // whole AS units, abs(total) * w % whole AS rest FROM sh_s),
+sh_r AS (SELECT *, row_number() OVER (PARTITION BY {q(N.ORDER_ID)} ORDER BY rest DESC, line_no) AS place,
+  abs(total) - sum(units) OVER (PARTITION BY {q(N.ORDER_ID)}) AS surplus FROM sh_f),
+shares AS (SELECT *, CAST(CASE WHEN total < 0 THEN -1 ELSE 1 END * (units + CASE WHEN place <= surplus THEN 1 ELSE 0 END) AS BIGINT)
+  AS {q(AP.SHARE)} FROM sh_r)
+"""
+
+
+def _settled_by(key: str) -> str:
+    return _SHARES + f"""SELECT {q(key)}, CAST(sum({q(AP.SHARE)}) AS DOUBLE) / 100 AS {q(AP.SETTLED)}, true AS {q(AP.HAS_LINES)}
+FROM shares WHERE {q(AP.SHARE)} IS NOT NULL GROUP BY 1
+UNION ALL SELECT NULL, CAST(coalesce(sum({_UNITS_OF}), 0) AS DOUBLE) / 100, false
+FROM c_income WHERE {RID} IS NULL OR {RID} NOT IN (SELECT {q(N.ORDER_ID)} FROM c_orders WHERE {q(N.ORDER_ID)} IS NOT NULL)"""
+
+
 def _queries() -> dict[str, str]:
     city_pattern = "%" + S["city"] + "%"
     out = {
@@ -288,6 +314,9 @@ def _queries() -> dict[str, str]:
             f"{_money_text(q(N.REVENUE))} AS {q(N.REVENUE)}, {q(N.N_RETURNED)} FROM ({_Q10})"),
         "error_by_month": _with(_Q11),
         "error_list": _with(_Q12),
+        "settlement_by_line": _with(_SHARES + f"SELECT {q(N.ORDER_ID)}, {q(N.SKU_ID)}, {q(N.QUANTITY)}, CAST({q(AP.SHARE)} AS DOUBLE) / 100 AS {q(AP.SHARE)} FROM shares"),
+        "settlement_by_category": _with(_settled_by(N.SKU_CATEGORY)),
+        "settlement_by_province": _with(_settled_by(N.PROVINCE)),
         # searches
         "find_order": _with(f"SELECT * FROM joined WHERE {q(N.ORDER_ID)} = {lit(S['order_id'])}"),
         "find_city": _with(f"SELECT {CITY_COLS} FROM joined WHERE {q(N.ORDER_STATUS)} = 'Completed' "
