@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sellerlens import names as N
 from sellerlens.functions import mapping as M
 from sellerlens.functions import text as T
-from sellerlens.operators import adhoc, apportion, chartdata, cleaning, income, incomestate, reports, search, searchindex
+from sellerlens.operators import adhoc, apportion, chartdata, cleaning, distinct, income, incomestate, reports, search, searchindex
 from sellerlens.session import scratch_path
 from sellerlens.sinks.colocated import Colocated, write_colocated
 from sellerlens.sinks.csv import read_csv, write_csv
@@ -83,6 +83,12 @@ def colocated(spark: SparkSession, sf_dir: str) -> Colocated:
     return _memoised("colocated", spark, sf_dir, build)
 
 
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored roll-up of distinct orders, written once per session and folder."""
+    return _memoised("rollup", spark, sf_dir, lambda: distinct.write_rollup(
+        spark, tables(spark, sf_dir).orders, scratch_path(spark, "rollup")))
+
+
 def _pairs(df: DataFrame, raw_col, out_col) -> DataFrame:
     """Distinct (input value, output value) pairs of a cleaning step."""
     return df.select(raw_col.alias("raw"), out_col.alias("cleaned")).distinct()
@@ -231,6 +237,11 @@ QUERIES: dict[str, Query] = {
     "indexed_find_city": lambda s, d: searchindex.find_by_city(s, search_index(s, d), S["city"]),
     "indexed_find_sku": lambda s, d: searchindex.find_by_sku(s, search_index(s, d), S["sku_id"]),
     "indexed_find_buyer": lambda s, d: searchindex.find_by_buyer(s, search_index(s, d), S["buyer"]),
+    # distinct orders of several grains from one roll-up
+    "distinct_orders_total": lambda s, d: distinct.distinct_orders(rollup(s, d)),
+    "distinct_orders_by_month": lambda s, d: distinct.distinct_orders(rollup(s, d), (N.ORDER_MONTH,)),
+    "distinct_orders_by_category": lambda s, d: distinct.distinct_orders(rollup(s, d), (N.SKU_CATEGORY,)),
+    "distinct_orders_by_month_province": lambda s, d: distinct.distinct_orders(rollup(s, d), (N.ORDER_MONTH, N.PROVINCE)),
     # reports and searches: see ON_TABLES
     # ad hoc SQL
     "adhoc_sql": adhoc_sql,

@@ -24,11 +24,11 @@ null; null amounts count as nothing; entries of orders without lines are in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens import names as N
-from sellerlens.session import scratch_path
+from sellerlens.plans.numbering import places
 
 UNITS = 100                   # smallest units of an amount of one
 WEIGHT_UNITS = 1000           # steps in which quantities weigh
@@ -72,28 +72,6 @@ def _orders(lines: DataFrame, income: DataFrame, amount: str) -> DataFrame:
                  .agg((F.abs(F.first("_total")) - F.sum(units * F.col("_c"))).alias("_left")))
 
 
-def places(df: DataFrame, group: str, order: list[Column], place: str) -> DataFrame:
-    """``df`` with the place (from 0) of each row within its ``group`` under
-    ``order``, without a group ever being in one task: rows are sorted over
-    range partitions and written; a place is the row's number over all
-    partitions less the least one of its group. Equal rows take either place."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "places")
-    row = F.monotonically_increasing_id()
-    by = [F.col(group), *order, F.col("_tie")]
-    (df.withColumn("_tie", row).repartitionByRange(*by).sortWithinPartitions(*by)
-       .withColumn("_row", row).drop("_tie").write.parquet(path))
-    t = spark.read.parquet(path).withColumn("_part", F.shiftright("_row", 33))
-    # One row a partition.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    starts = starts.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    t = t.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_start") + F.col("_row").bitwiseAND((1 << 33) - 1))
-    first = t.groupBy(group).agg(F.min("_at").alias("_first"))
-    return (t.join(first, group).withColumn(place, F.col("_at") - F.col("_first"))
-             .drop("_part", "_start", "_row", "_at", "_first"))
-
-
 def share_out(orders: DataFrame, income: DataFrame, amount: str = N.SETTLEMENT) -> DataFrame:
     """The order lines with ``Settled share``: their part of ``amount`` of
     their order's entries, as a long of smallest units."""

@@ -317,6 +317,11 @@ def _queries() -> dict[str, str]:
         "settlement_by_line": _with(_SHARES + f"SELECT {q(N.ORDER_ID)}, {q(N.SKU_ID)}, {q(N.QUANTITY)}, CAST({q(AP.SHARE)} AS DOUBLE) / 100 AS {q(AP.SHARE)} FROM shares"),
         "settlement_by_category": _with(_settled_by(N.SKU_CATEGORY)),
         "settlement_by_province": _with(_settled_by(N.PROVINCE)),
+        "distinct_orders_total": _with(f"SELECT COUNT(DISTINCT {q(N.ORDER_ID)}) AS {q(N.N_ORDERS)} FROM c_orders"),
+        **{f"distinct_orders_by_{name}": _with(
+            f"SELECT {keys}, COUNT(DISTINCT {q(N.ORDER_ID)}) AS {q(N.N_ORDERS)} FROM c_orders GROUP BY {keys}")
+           for name, keys in (("month", q(N.ORDER_MONTH)), ("category", q(N.SKU_CATEGORY)),
+                              ("month_province", f"{q(N.ORDER_MONTH)}, {q(N.PROVINCE)}"))},
         # searches
         "find_order": _with(f"SELECT * FROM joined WHERE {q(N.ORDER_ID)} = {lit(S['order_id'])}"),
         "find_city": _with(f"SELECT {CITY_COLS} FROM joined WHERE {q(N.ORDER_STATUS)} = 'Completed' "
