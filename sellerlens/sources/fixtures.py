@@ -67,9 +67,11 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     cu = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     pa = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = (li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(cu, F.col("o_custkey") == F.col("c_custkey"))
-           .join(pa, F.col("l_partkey") == F.col("p_partkey")))
+    # Names are joined to narrow rows first; lines and orders meet last, merged at
+    # every size, so that only key-sized rows are shuffled and none is afterwards.
+    buyers = od.join(cu, F.col("o_custkey") == F.col("c_custkey"))
+    products = li.join(pa, F.col("l_partkey") == F.col("p_partkey"))
+    j = products.join(buyers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     okey, odate, status = F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus")
     fmt = lambda ts: F.date_format(ts, DAY_FIRST)
     return j.select(
@@ -173,8 +175,9 @@ def materialize(spark: SparkSession, sf_dir: str) -> FixturePaths:
         base = scratch_path(spark, "fixtures")
         paths = FixturePaths(f"{base}/orders.parquet", f"{base}/income.parquet",
                              f"{base}/overview.parquet")
-        # Files of even size, as many as the data needs.
-        fixture_orders(spark, sf_dir).hint("rebalance").write.mode("overwrite").parquet(paths.orders)
+        # Files of even size, as many as the data needs: of the lines from the
+        # join's own partitions, so that their widest rows are not shuffled again.
+        fixture_orders(spark, sf_dir).write.mode("overwrite").parquet(paths.orders)
         fixture_income(spark, sf_dir).hint("rebalance").write.mode("overwrite").parquet(paths.income)
         fixture_overview(spark, sf_dir).write.mode("overwrite").parquet(paths.overview)
         _written[key] = paths
