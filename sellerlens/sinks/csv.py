@@ -29,9 +29,15 @@ CSV_OPTIONS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Write ``df`` as a folder of CSV part files (one per task) at ``path``."""
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+# A file with line breaks in fields is read by one task, so a task that writes
+# more rows than this begins another file.
+ROWS_PER_FILE = 200_000
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Write ``df`` as a folder of CSV part files (of ``rows_per_file`` rows at
+    most, one or more per task) at ``path``."""
+    df.write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
     return path
 
 
@@ -39,6 +45,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
     """Read CSV written by :func:`write_csv` back with a known schema.
 
     ``multi_line`` reads fields that hold line breaks; a file is then one
-    task, so large data should be in many files.
+    task, so large data should be in many files, as :func:`write_csv` makes them.
     """
     return spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).schema(schema).csv(path)
