@@ -87,3 +87,20 @@ def joined_lines(parts: Parts, keys: Sequence[Column | str], measures: Mapping[s
     """:func:`join_entries` of the lines and entries of all ``parts``."""
     return reduce(DataFrame.unionByName,
                   [join_entries(lines_per_order(o, keys, measures, where), i) for o, i in parts])
+
+
+# Bits of the bitmap of ``maybe_among``, broadcast as a million words at most.
+HASH_BITS = 1 << 26
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in the only column of
+    ``ids``, before any shuffle: none whose key is there gets lost, some others
+    stay (equal hashes). For a wide ``df`` ahead of an exact join."""
+    h = lambda x: F.pmod(F.xxhash64(x), F.lit(HASH_BITS))
+    bits = (ids.select(h(F.col(ids.columns[0])).alias("_h"))
+               .select(F.shiftright("_h", 6).alias("_word"), F.expr("shiftleft(1L, CAST(_h & 63 AS int))").alias("_bit"))
+               .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    t = df.withColumn("_h", h(F.col(key)))
+    t = t.join(F.broadcast(bits), F.shiftright(t["_h"], 6) == F.col("_word"))
+    return t.where("shiftright(_bits, CAST(_h & 63 AS int)) & 1 = 1").select(*[N.c(x) for x in df.columns])
