@@ -4,15 +4,18 @@ A search on a large store should open the files that hold its value, not scan
 a column. ``build_index`` reads the searched columns of the written tables
 once and writes
 
-* ``values`` – (column, value, file): which files hold a value. Values are
+* ``files`` – (file, f, side, rows): the tables' files and their 64-bit hashes;
+* ``values`` – (column, h, f): which files hold a value, both as 64-bit hashes,
+  so that an entry is 16 bytes however long texts and paths are. Values are
   dealt into buckets by hash, one folder a bucket, so that a look-up opens one
   bucket's files;
-* ``grams`` – (gram, value): the distinct provinces by their lower-case
-  three-character pieces, for ``ILIKE '%x%'``.
+* ``provinces`` – the distinct provinces;
+* ``grams`` – (gram, value): these by their lower-case three-character pieces,
+  for ``ILIKE '%x%'``.
 
 A search looks its value up, reads the files found and runs the unindexed
 search on them, so its rows are the same by construction: files left out hold
-no such value. The searched columns are equality keys, null matches nothing
+no such value, and a file found by an equal hash alone gives no row. The searched columns are equality keys, null matches nothing
 and is not indexed. The index belongs to the files it was built from; after
 the tables are written again it must be built again (a file that is missing
 raises).
@@ -21,6 +24,7 @@ raises).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +36,7 @@ from sellerlens.sinks.tables import TablePaths, read_tables
 
 c = N.c
 
-BUCKET_VALUES = 1_000_000      # entries of a bucket, about
+BUCKET_VALUES = 1_000_000      # rows of a table that a bucket stands for: more entries than a column has there
 FEW_ORDERS = 1_000             # matched orders whose entries are looked up, too
 GRAM = 3
 
@@ -47,15 +51,24 @@ class SearchIndex:
     buckets: int
 
 
-def _bucket(value, buckets: int):
-    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
+def _bucket(h, buckets: int):
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
-def _places(df: DataFrame, columns) -> DataFrame:
-    """Distinct (column, value, file) of the non-null values."""
-    pairs = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in columns])
-    t = df.select(F.explode(pairs).alias("p"), F.col("_metadata.file_path").alias("file"))
-    return t.select("p.column", "p.value", "file").where("value IS NOT NULL").distinct()
+def _hash(value):
+    return F.xxhash64(value.cast("string"))
+
+
+def _places(df: DataFrame, column: str) -> DataFrame:
+    """Distinct (column, h, f) of the non-null values of one column. Columns
+    are taken one by one: a task then combines numbers of one column only."""
+    t = df.where(c(column).isNotNull()).select(_hash(c(column)).alias("h"), F.xxhash64("_metadata.file_path").alias("f"))
+    return t.distinct().select(F.lit(column).alias("column"), "h", "f")
+
+
+def _files(df: DataFrame, side: str) -> DataFrame:
+    t = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    return t.select("file", F.xxhash64("file").alias("f"), F.lit(side).alias("side"), "rows")
 
 
 def grams(value) -> DataFrame:
@@ -69,14 +82,16 @@ def build_index(spark: SparkSession, tables: TablePaths, path: str, mode: str =
     """Index the tables written by ``sinks.tables.write_tables`` below ``path``."""
     b = path.rstrip("/")
     orders, income = spark.read.parquet(tables.orders), spark.read.parquet(tables.income)
-    found = _places(orders, ORDER_KEYS).unionByName(_places(income, (N.RELATED_ORDER_ID,)))
-    found.write.mode(mode).parquet(f"{b}/found")
-    found = spark.read.parquet(f"{b}/found")
-    buckets = max(1, -(-found.count() // BUCKET_VALUES))
-    keyed = found.withColumn("bucket", _bucket(F.col("value"), buckets))
-    (keyed.repartition("column", "bucket").sortWithinPartitions("value")
+    _files(orders, "orders").unionByName(_files(income, "income")).write.mode(mode).parquet(f"{b}/files")
+    rows = spark.read.parquet(f"{b}/files").groupBy("side").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    buckets = max(1, -(-rows // BUCKET_VALUES))
+    found = [_places(orders, x) for x in ORDER_KEYS] + [_places(income, N.RELATED_ORDER_ID)]
+    keyed = reduce(DataFrame.unionByName, found).withColumn("bucket", _bucket(F.col("h"), buckets))
+    (keyed.repartition("column", "bucket").sortWithinPartitions("column", "bucket", "h")
           .write.mode(mode).partitionBy("column", "bucket").parquet(f"{b}/values"))
-    values = found.where(F.col("column") == N.PROVINCE).select("value").distinct()
+    known = orders.where(c(N.PROVINCE).isNotNull()).select(c(N.PROVINCE).cast("string").alias("value")).distinct()
+    known.write.mode(mode).parquet(f"{b}/provinces")
+    values = spark.read.parquet(f"{b}/provinces")
     values.select(F.explode(grams(F.col("value"))).alias("gram"), "value").sort("gram").write.mode(mode).parquet(f"{b}/grams")
     return SearchIndex(b, tables, buckets)
 
@@ -86,10 +101,12 @@ def files_of(spark: SparkSession, index: SearchIndex, column: str, values: list[
     if not values:
         return []
     t = spark.read.parquet(f"{index.path}/values").where(F.col("column") == column)
-    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias("v"))
-    at = sorted({r[0] for r in wanted.select(_bucket(F.col("v"), index.buckets)).collect()})
-    t = t.where(F.col("bucket").isin(at) & F.col("value").isin(values))
-    return sorted(r[0] for r in t.select("file").distinct().collect())
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias("v")).select(_hash(F.col("v")).alias("h"))
+    keys = wanted.select("h", _bucket(F.col("h"), index.buckets).alias("at")).distinct().collect()
+    t = t.where(F.col("bucket").isin(sorted({r["at"] for r in keys})) & F.col("h").isin([r["h"] for r in keys]))
+    side = "income" if column == N.RELATED_ORDER_ID else "orders"
+    files = spark.read.parquet(f"{index.path}/files").where(F.col("side") == side)
+    return sorted(r[0] for r in files.join(t.select("f").distinct(), "f", "left_semi").select("file").collect())
 
 
 def provinces_like(spark: SparkSession, index: SearchIndex, text: str) -> list[str]:
@@ -102,7 +119,7 @@ def provinces_like(spark: SparkSession, index: SearchIndex, text: str) -> list[s
         t = (t.where(F.col("gram").isin(sorted(pieces))).groupBy("value").agg(F.count("*").alias("n"))
               .where(F.col("n") == len(pieces)))
     else:                      # too short a text: all values, also those without a piece
-        t = (spark.read.parquet(f"{index.path}/values").where(F.col("column") == N.PROVINCE))
+        t = spark.read.parquet(f"{index.path}/provinces")
     t = t.select(F.col("value").alias(N.PROVINCE)).distinct().where(like)
     return sorted(r[0] for r in t.collect())
 

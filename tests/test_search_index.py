@@ -77,3 +77,16 @@ def test_bloom_filters_are_written(spark, store):
     assert N.SKU_ID in names
     raw = open(file, "rb").read()
     assert len(raw) > sum(group.column(i).total_compressed_size for i in range(group.num_columns)) + 1024
+
+
+def test_entries_are_numbers_built_column_by_column(spark, store):
+    t, index = store
+    values = spark.read.parquet(f"{index.path}/values")
+    assert {k: v for k, v in values.dtypes if k in ("h", "f")} == {"h": "bigint", "f": "bigint"} and "value" not in values.columns
+    lines = spark.read.parquet(index.tables.orders)
+    plan = X._places(lines, N.SKU_ID)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
+    for column in (N.SKU_ID, N.PROVINCE):
+        have = values.where(F.col("column") == column)
+        want = lines.where(F.col(f"`{column}`").isNotNull()).select(column, "_metadata.file_path").distinct().count()
+        assert have.count() == want == have.distinct().count()
