@@ -24,10 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerlens import names as N
+from sellerlens.operators.income import classify_income
 from sellerlens.plans.joins import Parts
 from sellerlens.sources.files import Tables
 
-ROWS_PER_BUCKET = 2_000_000
+# A bucket is sorted whole by one task: half a million lines of some 600 bytes
+# stay in its memory. Up to MERGED buckets a map task writes its rows straight to
+# one file a bucket, beyond it holds and sorts them; so there are no more
+# than MERGED buckets as long as a bucket has at most MOST_ROWS rows.
+ROWS_PER_BUCKET = 500_000
+MOST_ROWS = 1_400_000
+MERGED = 200
 LEAST_BUCKETS = 8
 SIDES = {"orders": N.ORDER_ID, "income": N.RELATED_ORDER_ID}
 
@@ -49,11 +56,18 @@ def _counts(df: DataFrame, key: str) -> DataFrame:
     return df.where(N.c(key).isNotNull()).groupBy(N.c(key).alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets for so many lines and entries together."""
+    return max(LEAST_BUCKETS, min(MERGED, -(-rows // ROWS_PER_BUCKET)), -(-rows // MOST_ROWS))
+
+
 def write_colocated(spark: SparkSession, tables: Tables, base: str, name: str, buckets: int | None = None) -> Colocated:
     """Store both tables below ``base`` as ``<name>_orders`` and ``<name>_income``.
 
     ``buckets`` follows from the number of rows unless given; both tables must
-    not exist yet."""
+    not exist yet. Labels depend only on entries of the same related ID, so the
+    entries apart and the others are classified each for themselves where
+    ``tables`` has them unclassified."""
     base = base.rstrip("/")
     sides = {"orders": tables.orders, "income": tables.income}
     counts = None
@@ -63,16 +77,18 @@ def write_colocated(spark: SparkSession, tables: Tables, base: str, name: str, b
     counts.groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{base}/ids")
     ids = spark.read.parquet(f"{base}/ids")
     rows = ids.agg(F.sum("n")).first()[0] or 0
-    buckets = buckets or max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    buckets = buckets or bucket_count(rows)
     # Fewer than ``buckets`` IDs can have more than their share of the rows.
     hot = F.broadcast(ids.where(F.col("n") > rows / buckets).select(F.col("id").alias("_hot_id")))
-    for side, df in sides.items():
+    given = {"orders": (tables.orders, lambda t: t),
+             "income": (tables.income, lambda t: t) if tables.entries is None else (tables.entries, classify_income)}
+    for side, (df, whole) in given.items():
         key = SIDES[side]
         marked = df.join(hot, N.c(key) == F.col("_hot_id"), "left")
         apart = F.col("_hot_id").isNotNull() | N.c(key).isNull()
-        marked.where(apart).drop("_hot_id").write.parquet(f"{base}/hot_{side}")
+        whole(marked.where(apart).drop("_hot_id")).write.parquet(f"{base}/hot_{side}")
         # Dealt by the same hash as the buckets: one file and one task each.
-        (marked.where(~apart).drop("_hot_id").repartition(buckets, N.c(key))
+        (whole(marked.where(~apart).drop("_hot_id")).repartition(buckets, N.c(key))
                .write.bucketBy(buckets, key).sortBy(key).format("parquet")
                .option("path", f"{base}/{side}").saveAsTable(f"{name}_{side}"))
     return _open(spark, base, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sellerlens import catalog, names as N
 from sellerlens.operators import reports as R
 from sellerlens.plans.joins import join_entries, lines_per_order, order_income
+from sellerlens.sinks import colocated as C
 from sellerlens.sinks.colocated import attach, write_colocated
 from sellerlens.sources.files import Tables
 from tests.conftest import SF_SMALL, rows
@@ -73,3 +74,22 @@ def test_empty_tables(spark, stored, tmp_path):
     none = Tables(given.orders.limit(0), given.income.limit(0), given.overview)
     store = write_colocated(spark, none, str(tmp_path / "s"), "e" + uuid.uuid4().hex)
     assert rows(R.region_analysis(store.orders, store.income, more=store.parts[1:])) == []
+
+
+def test_a_bucket_fits_a_task_and_few_are_written_unsorted():
+    assert C.bucket_count(0) == C.LEAST_BUCKETS
+    assert 47_000_000 / C.bucket_count(47_000_000) <= 500_000
+    assert C.bucket_count(280_000_000) == C.MERGED
+    assert 3_000_000_000 / C.bucket_count(3_000_000_000) <= C.MOST_ROWS
+
+
+def test_parts_are_classified_each_for_themselves(spark, tmp_path, monkeypatch):
+    t = catalog.tables(spark, SF_SMALL)
+    calls = []
+    real = C.classify_income
+    monkeypatch.setattr(C, "classify_income", lambda df: calls.append(df) or real(df))
+    store = write_colocated(spark, t, str(tmp_path / "s"), "p" + uuid.uuid4().hex, buckets=4)
+    assert [df.count() for df in calls] == [store.hot_income.count(), store.income.count()]
+    got = store.income.unionByName(store.hot_income)
+    assert got.columns == t.income.columns
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(t.income)))
