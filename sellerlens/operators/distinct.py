@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sellerlens import names as N
 from sellerlens.plans.numbering import numbered
+from sellerlens.session import scratch_path
 
 GRAIN = (N.ORDER_MONTH, N.PROVINCE, N.SKU_CATEGORY)
 SLOT, BITS = "slot", "bits"
@@ -38,11 +39,19 @@ def number_orders(orders: DataFrame) -> DataFrame:
 
 
 def write_rollup(spark: SparkSession, orders: DataFrame, path: str) -> DataFrame:
-    """Write the roll-up of the order lines to ``path`` and read it back."""
-    cells = orders.select(*[N.c(x) for x in GRAIN], N.c(N.ORDER_ID).cast("string").alias("_id")).distinct()
+    """Write the roll-up of the order lines to ``path`` and read it back.
+
+    The lines are cleaned once and written narrow; orders are numbered from
+    that. A bitmap takes an order any number of times, so equal lines need no
+    shuffle of their own; lines without an ID have no number to look up."""
+    once = scratch_path(spark, "cells")
+    orders.select(*[N.c(x) for x in GRAIN], N.c(N.ORDER_ID).cast("string").alias(N.ORDER_ID)).write.parquet(once)
+    lines = spark.read.parquet(once)
     n = F.col("number") + 1        # Spark's slots begin at one
-    numbers = number_orders(orders)
-    (cells.join(numbers, F.col("_id") == F.col("_oid"), "left")
+    numbers = number_orders(lines)
+    known = lines.join(numbers, N.c(N.ORDER_ID) == F.col("_oid")).select(*[N.c(x) for x in GRAIN], "number")
+    rest = lines.where(N.c(N.ORDER_ID).isNull()).select(*[N.c(x) for x in GRAIN], F.lit(None).cast("long").alias("number"))
+    (known.unionByName(rest)
           .select(*[N.c(x) for x in GRAIN], F.bitmap_bucket_number(n).alias(SLOT), F.bitmap_bit_position(n).alias("_at"))
           .groupBy(*[N.c(x) for x in GRAIN], SLOT).agg(F.bitmap_construct_agg("_at").alias(BITS))
           .write.mode("error").parquet(path))

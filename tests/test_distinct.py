@@ -51,3 +51,13 @@ def test_rows_without_id_and_empty_tables(spark, tmp_path):
     assert rows(D.distinct_orders(up, (N.ORDER_MONTH,))) == [("2024-01", 0), ("2024-02", 1), (None, 1)]
     none = D.write_rollup(spark, orders.limit(0), str(tmp_path / "e"))
     assert rows(D.distinct_orders(none)) == [(0,)] and rows(D.distinct_orders(none, D.GRAIN)) == []
+
+
+def test_lines_are_read_once(spark, tmp_path, monkeypatch):
+    given = [("a", "2024-01", "p", "x"), ("a", "2024-01", "p", "y"), ("b", "2024-02", None, "x"), (None, "2024-02", "p", "x")]
+    spark.createDataFrame(given, SCHEMA).write.parquet(str(tmp_path / "lines"))
+    seen, number = [], D.number_orders
+    monkeypatch.setattr(D, "number_orders", lambda df: seen.append(df.inputFiles()) or number(df))
+    up = D.write_rollup(spark, spark.read.parquet(str(tmp_path / "lines")), str(tmp_path / "r"))
+    assert seen and not [f for f in seen[0] if str(tmp_path) in f]
+    assert rows(D.distinct_orders(up, (N.ORDER_MONTH,))) == [("2024-01", 1), ("2024-02", 1)]
