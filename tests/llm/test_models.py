@@ -351,3 +351,12 @@ def test_one_defined_row_of_a_repeated_id(spark):
     rows = [(5, t, "en", "s", 1) for t in ("b text of five words and more", "a text of five words and more", "b text of five words and more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.text for r in corpus_pipeline.ngram_join(spark, docs, SF).collect()] == [rows[1][1]]
+
+
+def test_the_language_stage_runs_the_network_once(spark):
+    """A filter on the prediction is no second pass, with a second worker, over all texts."""
+    import corpus_pipeline
+
+    t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus_pipeline.language_id(spark, t, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
